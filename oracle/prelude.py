@@ -138,14 +138,22 @@ def with_prelude(body: str, ctes: str = "") -> str:
 # --- exact arithmetic snippets (DuckDB turns DECIMAL / x into DOUBLE) ---------
 
 
-def r2(num: str, den: str) -> str:
-    """ROUND(num / den, 2) half away from zero, for integer num and den > 0, as DOUBLE."""
+def r2_int(num: str, den: str) -> str:
+    """ROUND(num / den, 2) * 100 as an integer (half away from zero), for
+    integer num and den > 0; null when either is null."""
     n = f"CAST({num} AS HUGEINT)"
     d = f"CAST({den} AS HUGEINT)"
-    return (
-        f"(CAST(CASE WHEN {n} < 0 THEN -((-{n} * 200 + {d}) // (2 * {d})) "
-        f"ELSE ({n} * 200 + {d}) // (2 * {d}) END AS DOUBLE) / 100)"
-    )
+    return f"(CASE WHEN {n} < 0 THEN -((-{n} * 200 + {d}) // (2 * {d})) ELSE ({n} * 200 + {d}) // (2 * {d}) END)"
+
+
+def r2(num: str, den: str) -> str:
+    """ROUND(num / den, 2) as DOUBLE (see r2_int)."""
+    return f"(CAST({r2_int(num, den)} AS DOUBLE) / 100)"
+
+
+def cents(dec: str) -> str:
+    """A DECIMAL already rounded to 2 places → integer hundredths."""
+    return f"CAST({dec} * 100 AS HUGEINT)"
 
 
 def micros(begin: str, end: str) -> str:

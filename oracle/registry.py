@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import hourly
+from oracle import clinicians, hourly
 from shiftwise.plans import registry as R
 
 ORACLE: dict[str, str] = {
@@ -13,4 +13,12 @@ ORACLE: dict[str, str] = {
     "hourly_activity_unaligned": hourly.hourly_activity(R.UNALIGNED_START, R.UNALIGNED_END),
     "hourly_activity_long": hourly.hourly_activity_long(R.HOURLY_START, R.HOURLY_END),
     "calls_by_hour": hourly.calls_by_hour(R.CALLS_START, R.CALLS_END),
+    "shift_hours_month": clinicians.shift_hours_month(R.MONTH),
+    "consultation_stats_month": clinicians.consultation_stats_month(R.MONTH),
+    "clinician_month": clinicians.clinician_month(R.MONTH),
+    "shift_consultation_stats": clinicians.shift_consultation_stats(R.MONTH),
+    "clinician_shifts": clinicians.clinician_shifts(R.MONTH),
+    "clinician_kpis": clinicians.clinician_kpis(R.MONTH),
+    "shift_cost_by_date": clinicians.shift_cost_by_date(R.MONTH),
+    "shift_location_counts": clinicians.shift_location_counts(R.MONTH),
 }

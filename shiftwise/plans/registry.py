@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from shiftwise.plans import hourly
+from shiftwise.plans import clinicians, hourly
 from shiftwise.sources.tables import Tables
 
 # Default arguments of the registered reports.
@@ -32,4 +32,12 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "hourly_activity_unaligned": lambda t: hourly.hourly_activity(t, UNALIGNED_START, UNALIGNED_END),
     "hourly_activity_long": lambda t: hourly.hourly_activity_long(t, HOURLY_START, HOURLY_END),
     "calls_by_hour": lambda t: hourly.calls_by_hour(t, CALLS_START, CALLS_END),
+    "shift_hours_month": lambda t: clinicians.shift_hours_month(t, MONTH),
+    "consultation_stats_month": lambda t: clinicians.consultation_stats_month(t, MONTH),
+    "clinician_month": lambda t: clinicians.clinician_month(t, MONTH),
+    "shift_consultation_stats": lambda t: clinicians.shift_consultation_stats(t, MONTH),
+    "clinician_shifts": lambda t: clinicians.clinician_shifts(t, MONTH),
+    "clinician_kpis": lambda t: clinicians.clinician_kpis(t, MONTH),
+    "shift_cost_by_date": lambda t: clinicians.shift_cost_by_date(t, MONTH),
+    "shift_location_counts": lambda t: clinicians.shift_location_counts(t, MONTH),
 }
