@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import clinicians, hourly
+from oracle import cases, clinicians, hourly, rosters
 from shiftwise.plans import registry as R
 
 ORACLE: dict[str, str] = {
@@ -21,4 +21,19 @@ ORACLE: dict[str, str] = {
     "clinician_kpis": clinicians.clinician_kpis(R.MONTH),
     "shift_cost_by_date": clinicians.shift_cost_by_date(R.MONTH),
     "shift_location_counts": clinicians.shift_location_counts(R.MONTH),
+    "shift_detail": cases.shift_detail(),
+    "shift_kpis": cases.shift_kpis(),
+    "shift_type_counts": cases.shift_type_counts(),
+    "case_detail": cases.case_detail(),
+    "case_header": cases.case_header(),
+    "case_consultations": cases.case_consultations(),
+    "survey_feedback": cases.survey_feedback(),
+    "clinicians": rosters.clinicians(),
+    "rotas_clinicians": rosters.rotas_clinicians(),
+    "rotas_calendar": rosters.rotas_calendar(),
+    "month_filter": rosters.month_filter(R.MONTH),
+    "month_options": rosters.month_options(),
+    "adastra_options": rosters.adastra_options(),
+    "duration_hours": rosters.duration_hours(),
+    "daily_role_hours_cost": rosters.daily_role_hours_cost(R.HOURLY_START, R.HOURLY_END),
 }

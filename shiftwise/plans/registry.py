@@ -12,7 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from shiftwise.plans import clinicians, hourly
+from shiftwise.plans import cases, clinicians, hourly, rosters
 from shiftwise.sources.tables import Tables
 
 # Default arguments of the registered reports.
@@ -40,4 +40,19 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "clinician_kpis": lambda t: clinicians.clinician_kpis(t, MONTH),
     "shift_cost_by_date": lambda t: clinicians.shift_cost_by_date(t, MONTH),
     "shift_location_counts": lambda t: clinicians.shift_location_counts(t, MONTH),
+    "shift_detail": lambda t: cases.shift_detail(t),
+    "shift_kpis": lambda t: cases.shift_kpis(t),
+    "shift_type_counts": lambda t: cases.shift_type_counts(t),
+    "case_detail": lambda t: cases.case_detail(t),
+    "case_header": lambda t: cases.case_header(t),
+    "case_consultations": lambda t: cases.case_consultations(t),
+    "survey_feedback": lambda t: cases.survey_feedback(t),
+    "clinicians": lambda t: rosters.clinicians(t),
+    "rotas_clinicians": lambda t: rosters.rotas_clinicians(t),
+    "rotas_calendar": lambda t: rosters.rotas_calendar(t),
+    "month_filter": lambda t: rosters.month_filter(t, MONTH),
+    "month_options": lambda t: rosters.month_options(t),
+    "adastra_options": lambda t: rosters.adastra_options(t),
+    "duration_hours": lambda t: rosters.duration_hours(t),
+    "daily_role_hours_cost": lambda t: rosters.daily_role_hours_cost(t, HOURLY_START, HOURLY_END),
 }
