@@ -1,0 +1,91 @@
+"""Column expressions: durations, exact rounding, time helpers."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from shiftwise.functions import exprs as X
+
+
+def one(spark, col):
+    return spark.range(1).select(col.alias("v")).first()["v"]
+
+
+@pytest.mark.parametrize(
+    "text, hours",
+    [
+        ("25:00:00", 25.0),
+        ("08:90:00", 9.5),
+        ("00:00:90", 90 / 3600),
+        ("8:5:0", 8 + 5 / 60),
+        ("-1:30:00", -1.5),
+        ("1 days 02:00:00", 26.0),
+        ("8:30", 8.5),  # normalised to 8:30:00 first
+        ("04:30", 4.5),
+        ("10:00:00.5", 10 + 0.5 / 3600),
+        (None, None),
+        ("nan", None),
+        ("", None),
+        (":30:00", None),
+        ("n/a", None),
+    ],
+)
+def test_duration_hours(spark, text, hours):
+    col = X.micros_to_hours(X.duration_micros(X.normalise_duration(F.lit(text).cast("string"))))
+    got = one(spark, col)
+    if hours is None:
+        assert got is None
+    else:
+        assert got == pytest.approx(hours, abs=1e-12)
+
+
+@pytest.mark.parametrize(
+    "text, normalised",
+    [("8:30", "8:30:00"), ("08:30:00", "08:30:00"), (":30", ":30:00"), (None, "None"), ("n/a", "n/a")],
+)
+def test_normalise_duration(spark, text, normalised):
+    assert one(spark, X.normalise_duration(F.lit(text).cast("string"))) == normalised
+
+
+def test_div_round2_half_away_from_zero(spark):
+    from decimal import Decimal
+
+    assert one(spark, X.div_round2(F.lit(Decimal("837721.95")), F.lit(10), num_type="decimal(20,2)")) == Decimal(
+        "83772.20"
+    )
+    assert one(spark, X.div_round2(F.lit(-5), F.lit(200))) == Decimal("-0.03")
+    assert one(spark, X.div_round2(F.lit(5), F.lit(0))) is None
+
+
+def test_minutes_and_hours(spark):
+    from decimal import Decimal
+
+    assert one(spark, X.minutes2(F.lit(90_300_000))) == Decimal("1.51")  # 1.505 min -> 1.51
+    assert one(spark, X.hours2(F.lit(X.MICROS_PER_HOUR * 3 // 2))) == Decimal("1.50")
+
+
+@pytest.mark.parametrize("num, den", [(0, 7), (7, 7), (8, 7), (-1, 7), (-7, 7), (-8, 7), (10**15 + 1, 3600)])
+def test_ceil_div(spark, num, den):
+    expect = -((-num) // den)
+    assert one(spark, X.ceil_div(F.lit(num).cast("long"), den)) == expect
+
+
+def test_hour_floor_and_labels(spark):
+    ts = X.ntz_lit(datetime(2024, 3, 31, 1, 45, 30))
+    assert one(spark, X.hour_floor(ts)) == datetime(2024, 3, 31, 1, 0)
+    assert one(spark, X.hour_label(ts)) == "2024-03-31 01:00"
+    assert one(spark, X.month_label(ts)) == "March 2024"
+
+
+def test_month_helpers():
+    assert X.month_bounds(datetime(2024, 12, 5)) == (datetime(2024, 12, 1), datetime(2025, 1, 1))
+    assert X.parse_month_label("January 2024") == datetime(2024, 1, 1)
+    assert X.hour_count(datetime(2024, 1, 2), datetime(2024, 1, 1)) == -1
+    assert X.hour_count(datetime(2024, 1, 2), datetime(2024, 1, 9)) == 168
+
+
+def test_money_blank_is_null_and_garbage_fails(spark):
+    assert one(spark, X.money(F.lit(""))) is None
+    with pytest.raises(Exception):
+        one(spark, X.money(F.lit("abc")))
