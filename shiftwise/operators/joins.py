@@ -25,3 +25,14 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> D
         *unmatched.columns, *[F.lit(None).cast(dtypes[c]).alias(c) for c in right_only]
     )
     return matched.unionByName(padded)
+
+
+# Largest row count broadcast on the strength of a bound known before running.
+BROADCAST_ROW_LIMIT = 1_000_000
+
+
+def bounded_broadcast(df: DataFrame, row_bound: int, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Hint a broadcast of ``df`` when ``row_bound`` (a proven upper bound on
+    its rows, e.g. hours in a requested range) is at most ``limit``;
+    otherwise leave the choice to Spark's size-based planning."""
+    return F.broadcast(df) if 0 <= row_bound <= limit else df

@@ -16,6 +16,7 @@ from shiftwise import config
 from shiftwise.functions.exprs import (
     as_datetime,
     div_round2,
+    hour_count,
     hour_floor,
     hour_label,
     in_range,
@@ -24,6 +25,7 @@ from shiftwise.functions.exprs import (
     ROUNDED,
 )
 from shiftwise.operators.hour_bins import HOUR_INDEX, HOUR_START, explode_hour_bins, hour_grid
+from shiftwise.operators.joins import bounded_broadcast
 from shiftwise.sources.tables import Tables
 
 
@@ -65,10 +67,10 @@ def _staff_by_index(t: Tables, start, end) -> DataFrame:
 def staff_per_hour(t: Tables, start, end) -> DataFrame:
     """Distinct call handlers on shift for each hour of the series (0 if none)."""
     grid = hour_grid(_session(t), start, end)
-    staff = _staff_by_index(t, start, end)
+    bound = hour_count(as_datetime(start), as_datetime(end)) + 2  # hour buckets met by the range
+    staff = bounded_broadcast(_staff_by_index(t, start, end), bound)
     return (
-        F.broadcast(grid)
-        .join(staff, HOUR_INDEX, "left")
+        grid.join(staff, HOUR_INDEX, "left")
         .select(HOUR_START, F.coalesce(F.col("num_staff"), F.lit(0)).cast("long").alias("num_staff"))
     )
 
@@ -89,16 +91,17 @@ def hourly_activity(t: Tables, start, end) -> DataFrame:
     """The hourly activity table: one row per hour of the series start..end.
 
     Three aggregates (calls, staff, consultations) are each reduced to at
-    most one row per hour before they meet the series, so the final joins
-    are between relations of the series' size.
+    most one row per hour of the range before they meet the series. That
+    bound is known from the arguments, so they are broadcast when it is
+    small; the data volume only affects the scans and partial aggregates.
     """
     grid = hour_grid(_session(t), as_datetime(start), as_datetime(end))
-    calls = _call_stats(t, start, end)
-    staff = _staff_by_index(t, start, end)
-    cons = _consult_types(t, start, end)
+    bound = hour_count(as_datetime(start), as_datetime(end)) + 2  # hour buckets met by the range
+    calls = bounded_broadcast(_call_stats(t, start, end), bound)
+    staff = bounded_broadcast(_staff_by_index(t, start, end), bound)
+    cons = bounded_broadcast(_consult_types(t, start, end), bound)
     joined = (
-        F.broadcast(grid)
-        .join(calls, HOUR_START, "left")
+        grid.join(calls, HOUR_START, "left")
         .join(staff, HOUR_INDEX, "left")
         .join(cons, HOUR_START, "left")
     )
