@@ -49,8 +49,8 @@ def ntz_lit(value: date | datetime | str) -> Column:
 
 
 def month_bounds(month: date | datetime | str) -> tuple[datetime, datetime]:
-    """First instant of the month and of the next month."""
-    m = as_datetime(month)
+    """First instant of the month and of the next month ('January 2024' labels accepted)."""
+    m = resolve_month(month) if isinstance(month, str) and not month[:1].isdigit() else as_datetime(month)
     first = datetime(m.year, m.month, 1)
     nxt = datetime(m.year + (m.month == 12), m.month % 12 + 1, 1)
     return first, nxt
@@ -61,6 +61,30 @@ def parse_month_label(label: str) -> datetime:
     return datetime.strptime(label, "%B %Y")
 
 
+# Fixed value: the month the reference uses when '(All)' is selected.
+ALL_LABEL_MONTH = datetime(2024, 10, 1)
+
+
+def resolve_month(month: date | datetime | str | None) -> datetime:
+    """Month argument from a date, ISO text or a 'January 2024' label.
+
+    '(All)' and None give the fixed month the reference substitutes for
+    '(All)' (it never aggregates all months); pass a real month instead.
+    """
+    if month is None or month == "(All)":
+        return ALL_LABEL_MONTH
+    if isinstance(month, str) and not month[:1].isdigit():
+        return parse_month_label(month)
+    first, _ = month_bounds(month)
+    return first
+
+
+def default_range(today: date | None = None) -> tuple[datetime, datetime]:
+    """Yesterday .. today at midnight, the dashboard's default date range."""
+    d = as_datetime(today or date.today())
+    return d - timedelta(days=1), d
+
+
 def hour_count(start: datetime, end: datetime) -> int:
     """Index of the last hour of an hourly series start..end (end inclusive).
 
