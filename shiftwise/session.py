@@ -45,19 +45,22 @@ def build_session(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and snapshots.
+    """Shared folder for checkpoints.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the
-    cluster. Only when it is unset (local tests) a fresh scratch folder is
-    created and registered.
+    On a cluster this is the folder already registered with the context or
+    named by ``spark.checkpoint.dir``. Only when neither is set (local tests)
+    a fresh scratch folder is created and registered.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
-        spark.sparkContext.setCheckpointDir(configured)
+        sc.setCheckpointDir(configured)
         return configured
     local = tempfile.mkdtemp(prefix="shiftwise-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    sc.setCheckpointDir(local)
     return local
 
 
