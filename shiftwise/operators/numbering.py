@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,11 @@ def number_within(
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    # the range exchange evaluates its input twice (boundary sampling, then
+    # the shuffle); keep it until the eager checkpoint below has run
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
     ranged = (
-        df.repartitionByRange(n, *sort)
+        src.repartitionByRange(n, *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_mid", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_mid", _POS_BITS))
@@ -56,6 +60,7 @@ def number_within(
     )
     checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
+    src.unpersist()
     counts = ranged.groupBy(*keys, "_slice").agg(
         F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
