@@ -8,7 +8,7 @@ Keyed reports take ``personid=None`` for all clinicians at once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftwise import config
@@ -90,17 +90,25 @@ def shift_hours_month(t: Tables, month) -> DataFrame:
     )
 
 
+def _unique_name_cost(persons: str, cost: str) -> F.Column:
+    """The cost looked up by clinician name; a name shared by two persons
+    fails the job, as the scalar lookup of the cost by name does."""
+    return (
+        F.when(
+            F.col(persons) > 1,
+            F.raise_error(F.concat(F.lit("more than one person is named "), F.col("clinician_name"))),
+        )
+        .otherwise(F.col(cost))
+        .cast(ROUNDED)
+    )
+
+
 def _cost_by_name(shift_totals: DataFrame) -> DataFrame:
-    """One total cost per clinician name; a name shared by two persons fails
-    the job, as the scalar lookup of the cost by name does."""
+    """One total cost per clinician name (see ``_unique_name_cost``)."""
     by_name = shift_totals.groupBy("clinician_name").agg(
         F.count(F.lit(1)).alias("_persons"), F.first("total_cost").alias("_cost")
     )
-    checked = F.when(
-        F.col("_persons") > 1,
-        F.raise_error(F.concat(F.lit("more than one person is named "), F.col("clinician_name"))),
-    ).otherwise(F.col("_cost"))
-    return by_name.select("clinician_name", checked.cast(ROUNDED).alias("name_total_cost"))
+    return by_name.select("clinician_name", _unique_name_cost("_persons", "_cost").alias("name_total_cost"))
 
 
 # --- consultation statistics -----------------------------------------------------
@@ -145,10 +153,15 @@ def consultation_stats_month(t: Tables, month) -> DataFrame:
 def clinician_month(t: Tables, month) -> DataFrame:
     """The all-clinician table of ``month``: shift totals joined with
     consultation statistics by clinician name, busiest first."""
-    sh = _shift_totals(t, month)
+    # persons per name over the shift totals (one row per person, so the
+    # window groups are tiny) replaces a second aggregate and join
+    sh = _shift_totals(t, month).withColumn(
+        "_persons", F.count(F.lit(1)).over(Window.partitionBy("clinician_name"))
+    )
     cs = _consultation_stats_by_name(t, month)
-    cost = _cost_by_name(sh)
-    j = sh.join(cs, "clinician_name").join(cost, "clinician_name")
+    j = sh.join(cs, "clinician_name").withColumn(
+        "name_total_cost", _unique_name_cost("_persons", "total_cost")
+    )
     return j.orderBy(F.col("total_shifts").desc(), F.col("clinician_name")).select(
         "personid",
         "clinician_name",
