@@ -33,3 +33,46 @@ def test_hourly_range_reaches_parquet_scan(small_tables):
 def test_consultation_stats_use_no_expand(small_tables):
     text = plan_text(clinicians.consultation_stats_month(small_tables, datetime(2024, 1, 1)))
     assert "Expand" not in text
+
+
+def test_hot_shift_is_split_by_aqe(spark):
+    """A third of all consultations on one shift: the inner half of the
+    skew-safe outer join gets its hot partition split at runtime."""
+    from datetime import timedelta
+
+    from shiftwise.plans import cases
+    from tests.util import make_tables
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    saved = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        t0 = datetime(2024, 1, 2)
+        rotas = [dict(rslid=i, personid=i % 7, truelogin=t0, truelogout=t0 + timedelta(hours=8)) for i in range(200)]
+        cons = [
+            dict(
+                caseno=i,
+                rslid=0 if i % 3 == 0 else i % 200,
+                cons_begin_time=t0 + timedelta(minutes=i),
+                cons_end_time=t0 + timedelta(minutes=i + 5),
+            )
+            for i in range(30000)
+        ]
+        t = make_tables(spark, rotas=rotas, consultations=cons)
+        df = cases.shift_detail(t)
+        rows = df.collect()
+        assert len(rows) == t.rotas.join(t.consultations, "rslid", "left").count()
+        assert "SortMergeJoin(skew=true)" in plan_text(df)
+    finally:
+        for k, v in saved.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
