@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from shiftwise.plans import registry
 from tests.conftest import SF_SMALL
 from tests.harness import compare, duck_connect
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = {name: query for name, query in E.queries().items() if name in registry.REPORTS}
+ORACLE = {name: sql for name, sql in E.oracle_sql().items() if name in registry.REPORTS}
 
 
 @pytest.fixture(scope="module")
