@@ -90,14 +90,14 @@ def exact_duplicates(
 
     # full bytes of each hit against the row that stays
     many = state.filter(F.col("group_size") > 1).select(
-        "digest", F.col("keep._llm_file").alias("k_file"), F.col("keep._llm_row").alias("k_row")
+        "digest", F.col("keep._llm_file").alias("_llm_kfile"), F.col("keep._llm_row").alias("_llm_krow")
     )
     texts = rows.select("digest", "_llm_file", "_llm_row", "text")
-    stays = (F.col("_llm_file") == F.col("k_file")) & (F.col("_llm_row") == F.col("k_row"))
+    stays = (F.col("_llm_file") == F.col("_llm_kfile")) & (F.col("_llm_row") == F.col("_llm_krow"))
     # written, so that the join below deals both sides anew and can split a hot digest
     content = write_table(
         texts.join(many.withColumnRenamed("digest", "c_digest"), (F.col("digest") == F.col("c_digest")) & stays).select(
-            "c_digest", "k_file", "k_row", F.col("text").alias("content")
+            "c_digest", "_llm_kfile", "_llm_krow", F.col("text").alias("content")
         ),
         "dedup-content",
     )
@@ -133,8 +133,8 @@ def keep_last(docs: DataFrame) -> DataFrame:
     gone = (
         exact_duplicates(docs)
         .filter(~F.col("kept"))
-        .select(F.col("_llm_file").alias("g_file"), F.col("_llm_row").alias("g_row"))
+        .select(F.col("_llm_file").alias("_llm_gfile"), F.col("_llm_row").alias("_llm_grow"))
     )
     return src.join(
-        gone, (F.col("_llm_file") == F.col("g_file")) & (F.col("_llm_row") == F.col("g_row")), "left_anti"
+        gone, (F.col("_llm_file") == F.col("_llm_gfile")) & (F.col("_llm_row") == F.col("_llm_grow")), "left_anti"
     ).select(*[src[f"`{c}`"] for c in docs.columns])

@@ -229,13 +229,13 @@ def apply_mix(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame
     rows = _prepared(src, labels, mix, ["_llm_file", "_llm_row"])
     errors, _ = fit_rates(rows, mix)
     n = rated(rows, errors, mix.max_rate).select(
-        F.col("_llm_file").alias("n_file"), F.col("_llm_row").alias("n_row"), copies(F.col("_rate"), F.col("_key")).alias("_n")
+        F.col("_llm_file").alias("_llm_nfile"), F.col("_llm_row").alias("_llm_nrow"), copies(F.col("_rate"), F.col("_key")).alias("_llm_n")
     )
     if mix.max_rate is not None and mix.max_rate <= 1:  # the usual rows stay: only the others are joined
-        gone = n.filter(F.col("_n") == 0)
-        out = src.join(gone, (F.col("_llm_file") == F.col("n_file")) & (F.col("_llm_row") == F.col("n_row")), "left_anti")
+        gone = n.filter(F.col("_llm_n") == 0)
+        out = src.join(gone, (F.col("_llm_file") == F.col("_llm_nfile")) & (F.col("_llm_row") == F.col("_llm_nrow")), "left_anti")
     else:
-        out = src.join(n, (F.col("_llm_file") == F.col("n_file")) & (F.col("_llm_row") == F.col("n_row"))).withColumn(
-            "_at", F.explode(F.sequence(F.lit(1), F.greatest("_n", F.lit(1))))
-        ).filter(F.col("_n") > 0)
+        out = src.join(n, (F.col("_llm_file") == F.col("_llm_nfile")) & (F.col("_llm_row") == F.col("_llm_nrow"))).withColumn(
+            "_llm_at", F.explode(F.sequence(F.lit(1), F.greatest("_llm_n", F.lit(1))))
+        ).filter(F.col("_llm_n") > 0)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from shiftwise.llm.common import id_and_text, map_arrow, write_table
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
-_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\\sa-z0-9à-öø-ÿ]+")
+_SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _KEPT_WORDS = 400_000
 
 

@@ -255,8 +255,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     rows = src.select(field(src, "doc_id", "long"), field(src, "lang", "string"), field(src, "text", "string"), "_llm_file", "_llm_row")
     counts = write_table(base_counts(rows, ["doc_id", "lang", "_llm_file", "_llm_row"]), "quality")
     gone = counts.filter(~kept(thresholds(counts, labels, risk))).select(
-        F.col("_llm_file").alias("g_file"), F.col("_llm_row").alias("g_row")
+        F.col("_llm_file").alias("_llm_gfile"), F.col("_llm_row").alias("_llm_grow")
     )
     return src.join(
-        gone, (F.col("_llm_file") == F.col("g_file")) & (F.col("_llm_row") == F.col("g_row")), "left_anti"
+        gone, (F.col("_llm_file") == F.col("_llm_gfile")) & (F.col("_llm_row") == F.col("_llm_grow")), "left_anti"
     ).select(*[src[f"`{c}`"] for c in docs.columns])

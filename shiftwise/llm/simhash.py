@@ -278,7 +278,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, cell_rows: in
     order = F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_llm_file"), F.col("_llm_row"))
     least = rows.groupBy("fp").agg(F.min(order).alias("least"))
     first = named.join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
-    keep = first.select(F.col("least._llm_file").alias("k_file"), F.col("least._llm_row").alias("k_row"))
+    keep = first.select(F.col("least._llm_file").alias("_llm_kfile"), F.col("least._llm_row").alias("_llm_krow"))
     return src.join(
-        keep, (F.col("_llm_file") == F.col("k_file")) & (F.col("_llm_row") == F.col("k_row")), "left_semi"
+        keep, (F.col("_llm_file") == F.col("_llm_kfile")) & (F.col("_llm_row") == F.col("_llm_krow")), "left_semi"
     ).select(*[src[f"`{c}`"] for c in docs.columns])

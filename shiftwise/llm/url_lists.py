@@ -136,9 +136,9 @@ def reported(pages: DataFrame, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """Captures and dated entries that the page table itself gives.
 
     A page is fetched on the day of 2024 that its id falls on in turn. A page
-    full of stray symbols has its host blocked from that day for ``days``
-    days, unless another report comes in between; a page with a fragment or
-    query in its URL has its first path step allowed from its day on.
+    full of stray symbols has its host blocked from that day on and taken off
+    the list ``days`` days later; a page with a fragment in its URL has its
+    first path step allowed from its day on.
     """
     url = F.col("url")
     rows = pages.select(
@@ -157,7 +157,7 @@ def reported(pages: DataFrame, days: int = 30) -> tuple[DataFrame, DataFrame]:
             )
         ).alias("e"),
     ).select("key", "e.action", "e.day")
-    allows = rows.filter(url.rlike("[?#]") & (F.length(step) > 0)).select(
+    allows = rows.filter(url.contains("#") & (F.length(step) > 0)).select(
         F.concat(host, F.lit("/"), step).alias("key"), F.lit(ALLOW).alias("action"), "day"
     )
     captures = rows.select("id", "url", F.col("day").cast("timestamp").alias("fetched"))

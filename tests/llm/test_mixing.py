@@ -1,0 +1,92 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from shiftwise.llm import mixing as M
+from tests.llm.conftest import edge_rows, prose
+
+
+def labelled(table, n=600):
+    """One document in five is junk by its words, one in ten toxic."""
+    rows, labels = [], []
+    for i in range(n):
+        kind = "junk" if i % 5 == 0 else "toxic" if i % 10 == 1 else "clean"
+        mark = {"junk": " buy cheap now", "toxic": " nasty vile", "clean": ""}[kind]
+        rows.append((i, prose(i, 30 + i % 50) + mark, "en", "s", 0))
+        if i % 2 == 0 or i % 10 == 1:
+            labels.append((i, 0 if kind == "junk" else 1, 1 if kind == "toxic" else 0))
+    return table(rows), table(labels + labels[:9] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+
+
+def test_labels_take_the_worst(spark):
+    df = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 1), (2, 1, 0), (3, 1, 0), (None, 0, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in M.labelled(df).collect()} == {(1, 1), (2, 2), (3, 0)}
+
+
+def test_targets_are_met(table):
+    docs, labels = labelled(table)
+    mix = M.Mix(weights={"clean": 0.9, "junk": 0.06, "toxic": 0.04}, max_rate=None)
+    got = M.mix_documents(docs, labels, mix).toPandas()
+    assert len(got) == 600 and (got.rate >= 0).all()
+    p = got[[f"p_{d}" for d in M.DOMAINS]].to_numpy()
+    assert np.allclose(p.sum(axis=1), 1)
+    t = got.tokens.to_numpy()
+    supply, reached = t @ p, (t * got.rate.to_numpy()) @ p
+    target = np.minimum(supply, supply[0] * np.array([0.9, 0.06, 0.04]) / 0.9)
+    assert np.abs(reached - target).max() < 1e-3 * target.sum()
+    # copies are the rates in expectation
+    assert abs((got.copies * t).sum() - (got.rate * t).sum()) < 0.03 * (got.rate * t).sum()
+    assert ((got.copies >= np.floor(got.rate)) & (got.copies <= np.floor(got.rate) + 1)).all()
+    # held-out accuracy of the classifier
+    kind = np.where(got.doc_id % 5 == 0, 1, np.where(got.doc_id % 10 == 1, 2, 0))
+    held = (got.doc_id % 2 == 1) & (got.doc_id % 10 != 1)
+    assert (p.argmax(axis=1) == kind)[held].mean() > 0.9
+    assert got.rate[kind == 0].mean() > 0.95 > 0.6 > got.rate[kind == 2].mean()
+
+
+def test_rates_are_the_projected_gradient_solution(table, spark):
+    rnd = np.random.default_rng(1)
+    p, t = rnd.dirichlet([0.4, 0.2, 0.2], 200), rnd.integers(1, 500, 200)
+    rows = table([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens long, _posterior array<double>")
+    mix = M.Mix(weights={"clean": 0.9, "junk": 0.01, "toxic": 0.005}, tolerance=1e-12, steps=25)
+    errors, totals = M.fit_rates(rows, mix)
+    supply = t @ p
+    target = np.minimum(supply, supply[0] * np.array([0.9, 0.01, 0.005]) / 0.9)
+    r = np.ones(200)
+    start = (((t * r) @ p - target) ** 2 / supply).sum()
+    for _ in range(len(errors)):
+        r = np.clip(r - p @ (((t * r) @ p - target) / supply), 0, 1.0)
+    assert np.allclose(totals["reached"], (t * r) @ p) and np.allclose(totals["target"], target)
+    got = M.rated(rows, errors, 1.0).toPandas()
+    order = np.lexsort(np.array([*np.stack(got._posterior).T, got._tokens]))
+    assert np.allclose(got._rate.to_numpy()[order], r[np.lexsort(np.array([*p.T, t]))])
+    assert (((t * r) @ p - target) ** 2 / supply).sum() < 0.1 * start
+
+
+def test_edge_rows(edge, empty, table, no_labels):
+    docs, labels = labelled(table, 200)
+    assert M.mix_documents(edge, no_labels).count() == len(edge_rows())
+    got = M.mix_documents(edge, labels).collect()
+    assert len(got) == len(edge_rows()) and all(r.tokens == 0 for r in got if r.doc_id in (1, 2, 3))
+    assert next(r.tokens for r in got if r.doc_id == 7) == 2
+    assert M.mix_documents(empty, labels).collect() == [] and M.mix_documents(empty, no_labels).collect() == []
+
+
+def test_apply_mix(edge, empty, table, no_labels):
+    docs, labels = labelled(table)
+    out = M.apply_mix(docs, labels)
+    assert out.columns == docs.columns
+    kept = {r.doc_id for r in out.select("doc_id").collect()}
+    clean = [i for i in range(600) if i % 5 and i % 10 != 1]
+    assert len(kept) == out.count() < 600 and len(kept & set(clean)) > 0.9 * len(clean)
+    assert len([i for i in kept if i % 5 == 0]) < 60
+    same = M.apply_mix(edge, no_labels)
+    assert same.columns == edge.columns and same.count() == len(edge_rows())
+    assert M.apply_mix(empty, labels).collect() == []
+    more = M.apply_mix(docs, labels, M.Mix(weights={"clean": 0.5, "junk": 0.1, "toxic": 0.02}, anchor="junk", max_rate=None))
+    assert more.columns == docs.columns
+
+
+def test_counts_words(spark):
+    texts = [None, "", "  ", "a", " a  b\n\tc "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(M.token_count(F.col("t"))).collect()] == [0, 0, 0, 1, 3]
