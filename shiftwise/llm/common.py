@@ -89,3 +89,65 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with this package importable in the workers."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+SLOT_BITS = 24
+
+
+def slot_bitmap(hashes: DataFrame, least: int = 1) -> DataFrame:
+    """A bit per slot (a hash ``h`` modulo 2 ** SLOT_BITS) that at least
+    ``least`` rows fall in: at most 512 rows of 4 KB, whatever the input.
+
+    As a filter it lets every wanted row pass, and others that share a slot
+    with one; what passes must still be joined exactly.
+    """
+    slots = hashes.groupBy(F.pmod("h", F.lit(1 << SLOT_BITS)).alias("s"))
+    full = slots.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return full.groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits")
+    )
+
+
+def split_by_slot(df: DataFrame, h: Column, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose hash has its bit set, and the others."""
+    slot = F.pmod(h, F.lit(1 << SLOT_BITS))
+    at = F.bitmap_bit_position(slot)
+    byte = F.expr("conv(hex(substring(_llm_bits, cast(_llm_pos div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    bit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_llm_pos % 8 as int))")) > 0
+    named = F.broadcast(bitmap.select(F.col("bucket").alias("_llm_bucket"), F.col("bits").alias("_llm_bits")))
+    j = df.withColumn("_llm_pos", at).join(named, F.bitmap_bucket_number(slot) == F.col("_llm_bucket"), "left")
+    hit = F.coalesce(bit, F.lit(False))
+    return tuple(j.filter(f).drop("_llm_pos", "_llm_bucket", "_llm_bits") for f in (hit, ~hit))
+
+
+def without_places(src: DataFrame, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of the rows of ``src`` (of ``with_place``) whose place is not
+    in ``gone``, a written table of _llm_file and _llm_row. Rows whose slot is
+    free of places that go are not shuffled."""
+    gone = gone.select(F.col("_llm_file").alias("_llm_gfile"), F.col("_llm_row").alias("_llm_grow"))
+    marks = slot_bitmap(gone.select(F.xxhash64("_llm_gfile", "_llm_grow").alias("h")))
+    touched, others = split_by_slot(src, F.xxhash64("_llm_file", "_llm_row"), marks)
+    same = (F.col("_llm_file") == F.col("_llm_gfile")) & (F.col("_llm_row") == F.col("_llm_grow"))
+    names = [F.col(f"`{c}`") for c in columns]
+    return touched.join(gone, same, "left_anti").select(*names).union(others.select(*names))
+
+
+def bitmap_bytes(bitmap: DataFrame) -> bytes:
+    """The whole bitmap (2 MB) on the driver, for Python tasks; bit s is bit
+    s % 8 of byte s // 8."""
+    out = bytearray(1 << (SLOT_BITS - 3))
+    first = {}
+    for r in bitmap.collect():
+        first[r["bucket"]] = bytes(r["bits"])
+    # bucket 0 holds slot 0 only; bucket b holds slots (b - 1) * 32768 + 1 ... b * 32768
+    for bucket, bits in first.items():
+        if bucket == 0:
+            out[0] |= bits[0] & 1
+            continue
+        n = int.from_bytes(bits, "little") << (1)
+        start = (bucket - 1) * 4096
+        part = n.to_bytes(4097, "little")
+        for i, b in enumerate(part):
+            if b and start + i < len(out):
+                out[start + i] |= b
+    return bytes(out)

@@ -10,7 +10,8 @@ of the state leave each micro-batch as a table; the last change of a digest
 is its state.
 
 A digest seen more than once is a hit, and each hit is checked: the row's
-full text against the text at the locator of the row that stays. Should a
+full text against the text at the locator of the row that stays (rows that a
+bitmap of bounded size shows to be no hit are not shuffled for it). Should a
 digest stand for different texts, its rows are grouped by the texts instead,
 so the result holds for any digest function.
 
@@ -26,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.common import new_folder, with_place, write_table
+from shiftwise.llm.common import new_folder, slot_bitmap, split_by_slot, with_place, without_places, write_table
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -89,10 +90,14 @@ def exact_duplicates(
     state = keyed_state(path, log, max_bytes_per_trigger)
 
     # full bytes of each hit against the row that stays
-    many = state.filter(F.col("group_size") > 1).select(
-        "digest", F.col("keep._llm_file").alias("_llm_kfile"), F.col("keep._llm_row").alias("_llm_krow")
+    many = write_table(
+        state.filter(F.col("group_size") > 1).select(
+            "digest", F.col("keep._llm_file").alias("_llm_kfile"), F.col("keep._llm_row").alias("_llm_krow")
+        ),
+        "dedup-hits",
     )
-    texts = rows.select("digest", "_llm_file", "_llm_row", "text")
+    marks = slot_bitmap(many.select(F.xxhash64("digest").alias("h")))
+    texts, _ = split_by_slot(rows.select("digest", "_llm_file", "_llm_row", "text"), F.xxhash64("digest"), marks)
     stays = (F.col("_llm_file") == F.col("_llm_kfile")) & (F.col("_llm_row") == F.col("_llm_krow"))
     # written, so that the join below deals both sides anew and can split a hot digest
     content = write_table(
@@ -129,12 +134,5 @@ def exact_duplicates(
 
 def keep_last(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that repeat a text; the columns stay as they are."""
-    src = with_place(docs)
-    gone = (
-        exact_duplicates(docs)
-        .filter(~F.col("kept"))
-        .select(F.col("_llm_file").alias("_llm_gfile"), F.col("_llm_row").alias("_llm_grow"))
-    )
-    return src.join(
-        gone, (F.col("_llm_file") == F.col("_llm_gfile")) & (F.col("_llm_row") == F.col("_llm_grow")), "left_anti"
-    ).select(*[src[f"`{c}`"] for c in docs.columns])
+    gone = exact_duplicates(docs).filter(~F.col("kept")).select("_llm_file", "_llm_row")
+    return without_places(with_place(docs), write_table(gone, "dedup-gone"), docs.columns)

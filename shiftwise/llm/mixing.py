@@ -42,7 +42,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.common import field, map_arrow, with_place, write_table
+from shiftwise.llm.common import field, map_arrow, with_place, without_places, write_table
 
 DOMAINS = ("clean", "junk", "toxic")
 
@@ -228,14 +228,13 @@ def apply_mix(docs: DataFrame, labels: DataFrame, mix: Mix = Mix()) -> DataFrame
     src = with_place(docs)
     rows = _prepared(src, labels, mix, ["_llm_file", "_llm_row"])
     errors, _ = fit_rates(rows, mix)
-    n = rated(rows, errors, mix.max_rate).select(
-        F.col("_llm_file").alias("_llm_nfile"), F.col("_llm_row").alias("_llm_nrow"), copies(F.col("_rate"), F.col("_key")).alias("_llm_n")
+    n = rated(rows, errors, mix.max_rate).select("_llm_file", "_llm_row", copies(F.col("_rate"), F.col("_key")).alias("_llm_n"))
+    n = write_table(n.filter(F.col("_llm_n") != 1), "copies")  # most rows stay once
+    once = without_places(src, n, docs.columns)
+    if mix.max_rate is not None and mix.max_rate <= 1:
+        return once
+    more = n.filter(F.col("_llm_n") > 1).withColumnsRenamed({"_llm_file": "_llm_nfile", "_llm_row": "_llm_nrow"})
+    repeated = src.join(more, (F.col("_llm_file") == F.col("_llm_nfile")) & (F.col("_llm_row") == F.col("_llm_nrow"))).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_llm_n"))).alias("_llm_at")
     )
-    if mix.max_rate is not None and mix.max_rate <= 1:  # the usual rows stay: only the others are joined
-        gone = n.filter(F.col("_llm_n") == 0)
-        out = src.join(gone, (F.col("_llm_file") == F.col("_llm_nfile")) & (F.col("_llm_row") == F.col("_llm_nrow")), "left_anti")
-    else:
-        out = src.join(n, (F.col("_llm_file") == F.col("_llm_nfile")) & (F.col("_llm_row") == F.col("_llm_nrow"))).withColumn(
-            "_llm_at", F.explode(F.sequence(F.lit(1), F.greatest("_llm_n", F.lit(1))))
-        ).filter(F.col("_llm_n") > 0)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.union(repeated.drop("_llm_at"))

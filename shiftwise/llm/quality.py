@@ -30,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftwise.llm.common import field, with_place, write_table
+from shiftwise.llm.common import field, with_place, without_places, write_table
 
 _SPACE = "[ \\t\\n\\u000b\\f\\r]+"
 _WINDOW = 5
@@ -254,9 +254,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     src = with_place(docs)
     rows = src.select(field(src, "doc_id", "long"), field(src, "lang", "string"), field(src, "text", "string"), "_llm_file", "_llm_row")
     counts = write_table(base_counts(rows, ["doc_id", "lang", "_llm_file", "_llm_row"]), "quality")
-    gone = counts.filter(~kept(thresholds(counts, labels, risk))).select(
-        F.col("_llm_file").alias("_llm_gfile"), F.col("_llm_row").alias("_llm_grow")
-    )
-    return src.join(
-        gone, (F.col("_llm_file") == F.col("_llm_gfile")) & (F.col("_llm_row") == F.col("_llm_grow")), "left_anti"
-    ).select(*[src[f"`{c}`"] for c in docs.columns])
+    gone = counts.filter(~kept(thresholds(counts, labels, risk))).select("_llm_file", "_llm_row")
+    return without_places(src, write_table(gone, "rejected"), docs.columns)

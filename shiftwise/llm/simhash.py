@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.common import id_and_text, map_arrow, shared_dir, ship_package, with_place, write_table
+from shiftwise.llm.common import id_and_text, map_arrow, shared_dir, ship_package, with_place, without_places, write_table
 from shiftwise.llm.components import components
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -279,6 +279,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, cell_rows: in
     least = rows.groupBy("fp").agg(F.min(order).alias("least"))
     first = named.join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
     keep = first.select(F.col("least._llm_file").alias("_llm_kfile"), F.col("least._llm_row").alias("_llm_krow"))
-    return src.join(
-        keep, (F.col("_llm_file") == F.col("_llm_kfile")) & (F.col("_llm_row") == F.col("_llm_krow")), "left_semi"
-    ).select(*[src[f"`{c}`"] for c in docs.columns])
+    gone = rows.join(
+        keep, (F.col("_llm_file") == F.col("_llm_kfile")) & (F.col("_llm_row") == F.col("_llm_krow")), "left_anti"
+    ).select("_llm_file", "_llm_row")
+    return without_places(src, write_table(gone, "near-gone"), docs.columns)
