@@ -3,18 +3,79 @@
 from __future__ import annotations
 
 from oracle.prelude import micros, r2, r2_int, with_prelude
-from shiftwise.plans.cases import CASE_COLUMNS, CONSULTATION_COLUMNS
 
 MIN_US = "60000000"
 
-SHIFT_DETAIL = f"""detail AS (
-  SELECT r.personid, r.rslid, r.truelogin AS shift_start_time, r.truelogout AS shift_end_time,
-         c.caseno AS case_number, c.cons_type AS consultation_type,
-         c.next_cons_type AS next_consultation_type,
-         c.cons_begin_time AS consultation_start, c.cons_end_time AS consultation_end,
-         {r2(micros('c.cons_begin_time', 'c.cons_end_time'), MIN_US)} AS consultation_duration_mins,
-         {r2_int(micros('c.cons_begin_time', 'c.cons_end_time'), MIN_US)} AS mins_x100
-  FROM rotas r LEFT JOIN consultations c ON r.rslid = c.rslid
+# Columns of the case table, and of a consultation with the
+# names they have in the result.
+CASE_COLUMNS = (
+    "caseno",
+    "active_date",
+    "location",
+    "sex",
+    "age",
+    "call_origin",
+    "clinical_codes",
+    "comfort_call",
+    "dx_outcome",
+    "received_case_type",
+    "finished_case_type",
+    "priority_on_reception",
+    "priority_after_assessment",
+    "priority_on_completion",
+    "od_start_time",
+    "od_finish_time",
+    "ccg",
+    "provider_group",
+    "informational_outcome",
+    "cons_delay",
+    "od_cons_delay",
+    "cons_delayafter_assess",
+)
+
+CONSULTATION_COLUMNS = (
+    ("rslid", "rslid"),
+    ("case_type", "case_type"),
+    ("active_date", "cons_active_date"),
+    ("call_origin", "cons_call_origin"),
+    ("location_name", "location_name"),
+    ("operator_who_received_case", "operator_who_received_case"),
+    ("receive_time", "receive_time"),
+    ("reported_condition", "reported_condition"),
+    ("priority_on_reception", "cons_priority_reception"),
+    ("priority_after_assessment", "cons_priority_assessment"),
+    ("priority_on_completion", "cons_priority_completion"),
+    ("patient_audit_allergy", "patient_audit_allergy"),
+    ("patient_audit_condition", "patient_audit_condition"),
+    ("patient_audit_medication", "patient_audit_medication"),
+    ("cons_type", "cons_type"),
+    ("next_cons_type", "next_cons_type"),
+    ("cons_begin_time", "cons_begin_time"),
+    ("cons_end_time", "cons_end_time"),
+    ("cons_clinicians_name", "cons_clinicians_name"),
+    ("cons_history", "cons_history"),
+    ("cons_examination", "cons_examination"),
+    ("cons_diagnosis", "cons_diagnosis"),
+    ("cons_treatment", "cons_treatment"),
+    ("clinical_codes", "cons_clinical_codes"),
+    ("cons_prescriptions", "cons_prescriptions"),
+    ("prescriptions", "prescriptions"),
+    ("informational_outcomes", "informational_outcomes"),
+)
+
+# a shift's consultations, then the shifts that have none
+SHIFT_DETAIL = f"""timed AS (
+  SELECT rslid, caseno AS case_number, cons_type AS consultation_type, next_cons_type AS next_consultation_type,
+         cons_begin_time AS consultation_start, cons_end_time AS consultation_end,
+         {r2(micros('cons_begin_time', 'cons_end_time'), MIN_US)} AS consultation_duration_mins,
+         {r2_int(micros('cons_begin_time', 'cons_end_time'), MIN_US)} AS mins_x100
+  FROM consultations WHERE rslid IS NOT NULL
+),
+shifts AS (SELECT personid, rslid, truelogin AS shift_start_time, truelogout AS shift_end_time FROM rotas),
+detail AS (
+  SELECT * FROM shifts JOIN timed USING (rslid)
+  UNION ALL BY NAME
+  SELECT * FROM shifts ANTI JOIN timed USING (rslid)
 )"""
 
 
@@ -50,21 +111,27 @@ GROUP BY rslid, consultation_type""",
 
 
 def _case_detail_cte() -> str:
-    case_cols = ",\n         ".join(f"c.{n}" for n in CASE_COLUMNS)
-    cons_cols = ",\n         ".join(
-        f"cons.{src}" if src == out else f"cons.{src} AS {out}" for src, out in CONSULTATION_COLUMNS
-    )
-    return f"""case_rows AS (
-  SELECT {case_cols},
-         u.personid AS clinician_personid,
-         {cons_cols},
-         s.satisfaction,
-         s.comments AS survey_comments,
-         {r2(micros('cons.cons_begin_time', 'cons.cons_end_time'), MIN_US)} AS consultation_duration_mins
-  FROM cases c
-  LEFT JOIN consultations cons ON c.caseno = cons.caseno
-  LEFT JOIN users u ON cons.cons_clinicians_name = u.adastra
-  LEFT JOIN surveys s ON c.caseno = s.caseno
+    case_cols = ", ".join(CASE_COLUMNS)
+    cons_cols = ", ".join(f"{src} AS {out}" for src, out in CONSULTATION_COLUMNS)
+    renamed = ", ".join(out for _, out in CONSULTATION_COLUMNS)
+    # consultations with their clinician, cases with their surveys, then both by case
+    return f"""seen AS (
+  SELECT caseno, {cons_cols},
+         {r2(micros('cons_begin_time', 'cons_end_time'), MIN_US)} AS consultation_duration_mins
+  FROM consultations
+),
+seen_by AS (
+  SELECT seen.*, personid AS clinician_personid
+  FROM seen LEFT JOIN (SELECT personid, adastra FROM users WHERE adastra IS NOT NULL) AS who
+    ON who.adastra = seen.cons_clinicians_name
+),
+rated AS (
+  SELECT {", ".join("cases." + n for n in CASE_COLUMNS)}, satisfaction, comments AS survey_comments
+  FROM cases LEFT JOIN (SELECT caseno, satisfaction, comments FROM surveys) AS s USING (caseno)
+),
+case_rows AS (
+  SELECT {case_cols}, clinician_personid, {renamed}, satisfaction, survey_comments, consultation_duration_mins
+  FROM seen_by RIGHT JOIN rated USING (caseno)
 )"""
 
 
