@@ -17,13 +17,15 @@ MICROS_PER_SECOND = 1_000_000
 MICROS_PER_MINUTE = 60 * MICROS_PER_SECOND
 MICROS_PER_HOUR = 60 * MICROS_PER_MINUTE
 
-# Money column type: stored values are text; two decimals in practice,
-# six kept so nothing is lost before rounding.
-MONEY = "decimal(18,6)"
+# Money column type: stored values are text; two decimals in practice. Ten
+# decimals and eighteen digits before them are kept; more fail the job.
+MONEY = "decimal(28,10)"
 # Value already rounded to two places (hours, minutes, money).
 ROUNDED = "decimal(20,2)"
 # Integer operand of an exact division (counts, micros).
 WHOLE = "decimal(20,0)"
+# Operand of a percentage: narrow, so the quotient keeps 16 decimals.
+PART = "decimal(14,2)"
 
 
 def _col(c: Column | str) -> Column:
@@ -48,9 +50,11 @@ def ntz_lit(value: date | datetime | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def month_bounds(month: date | datetime | str) -> tuple[datetime, datetime]:
-    """First instant of the month and of the next month ('January 2024' labels accepted)."""
-    m = resolve_month(month) if isinstance(month, str) and not month[:1].isdigit() else as_datetime(month)
+def month_bounds(month: date | datetime | str | None) -> tuple[datetime, datetime]:
+    """First instant of the month and of the next month ('January 2024' labels
+    accepted; None is the default month)."""
+    label = month is None or isinstance(month, str) and not month[:1].isdigit()
+    m = resolve_month(month) if label else as_datetime(month)
     first = datetime(m.year, m.month, 1)
     nxt = datetime(m.year + (m.month == 12), m.month % 12 + 1, 1)
     return first, nxt
@@ -148,10 +152,11 @@ def round2(c: Column) -> Column:
 
 
 def div_round2(num: Column, den: Column, num_type: str = WHOLE, den_type: str = WHOLE) -> Column:
-    """ROUND(num / den, 2) computed exactly in DECIMAL; null when den is 0 or null.
+    """ROUND(num / den, 2) computed in DECIMAL; null when den is 0 or null.
 
     The operand types are kept narrow so Spark keeps at least 18 fractional
-    digits in the quotient and the final rounding is exact.
+    digits in the quotient, more than any quotient of counts, minutes or
+    money needs to round the right way.
     """
     return F.round(num.cast(num_type) / F.nullif(den.cast(den_type), F.lit(0).cast(den_type)), 2)
 
@@ -170,10 +175,13 @@ def seconds_to_minutes2(seconds: Column) -> Column:
     return div_round2(seconds, F.lit(60))
 
 
-def pct2(part: Column, whole: Column, part_type: str = ROUNDED, whole_type: str = ROUNDED) -> Column:
-    """ROUND(part / whole * 100, 2), multiplied first; null when whole is 0."""
+def pct2(part: Column, whole: Column, part_type: str = PART, whole_type: str = PART) -> Column:
+    """ROUND(part / whole * 100, 2), multiplied first; null when whole is 0.
+
+    The quotient keeps 16 decimals (14 for counts).
+    """
     return F.round(
-        (part.cast(part_type) * F.lit(100)) / F.nullif(whole.cast(whole_type), F.lit(0).cast(whole_type)), 2
+        (part.cast(part_type) * F.lit(100).cast("decimal(3,0)")) / F.nullif(whole.cast(whole_type), F.lit(0).cast(whole_type)), 2
     )
 
 
@@ -192,9 +200,13 @@ def money(c: Column | str) -> Column:
     """Money stored as text → DECIMAL; '' is treated as missing (null).
 
     Any other non-numeric text fails the job (ANSI cast), as the database
-    cast does, rather than silently dropping a cost.
+    cast does, rather than silently dropping a cost; so do more digits than
+    the type holds, which the database would keep.
     """
-    return nullif_blank(c).cast(MONEY)
+    text = nullif_blank(c)
+    value = text.cast(MONEY)
+    lost = text.rlike(r"\.\d{10}\d*[1-9]") | (text.rlike("[eE]") & (text.cast("decimal(38,20)") != value))
+    return F.when(lost, F.raise_error(F.concat(F.lit("too many decimals in a cost: "), text)).cast(MONEY)).otherwise(value)
 
 
 def month_label(ts: Column | str) -> Column:
@@ -227,7 +239,8 @@ DURATION_PATTERN = r"^(-?)(?:(\d+) days? )?(\d+):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6
 
 
 def duration_micros(text: Column | str) -> Column:
-    """Parse normalised duration text to microseconds (BIGINT); null if invalid."""
+    """Parse normalised duration text to microseconds (BIGINT); null if it is
+    invalid or longer than a BIGINT holds."""
     t = _col(text)
     ok = t.rlike(DURATION_PATTERN)
 
@@ -235,16 +248,20 @@ def duration_micros(text: Column | str) -> Column:
         return F.regexp_extract(t, DURATION_PATTERN, i)
 
     def num(i: int) -> Column:
-        # try_cast: the parts of a non-matching text are '' and must not raise
-        return F.coalesce(part(i).try_cast("long"), F.lit(0))
-
-    total = (
-        num(2) * F.lit(24 * MICROS_PER_HOUR)
-        + num(3) * F.lit(MICROS_PER_HOUR)
-        + num(4) * F.lit(MICROS_PER_MINUTE)
-        + num(5) * F.lit(MICROS_PER_SECOND)
-        + F.coalesce(F.rpad(part(6), 6, "0").try_cast("long"), F.lit(0))
-    )
+        # a part that is not there is '' and counts as 0; one that is too long is null
+        return F.when(part(i) == "", F.lit(0).cast("long")).otherwise(part(i).try_cast("long"))
+
+    def times(i: int, unit: int) -> Column:
+        return F.try_multiply(num(i), F.lit(unit).cast("long"))
+
+    total = F.coalesce(F.rpad(part(6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
+    for term in (
+        times(2, 24 * MICROS_PER_HOUR),
+        times(3, MICROS_PER_HOUR),
+        times(4, MICROS_PER_MINUTE),
+        times(5, MICROS_PER_SECOND),
+    ):
+        total = F.try_add(total, term)
     signed = F.when(part(1) == "-", -total).otherwise(total)
     return F.when(ok, signed)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def left_join_skew_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def left_join_skew_safe(left: DataFrame, right: DataFrame, keys: list[str], one_key: bool = False) -> DataFrame:
     """``left LEFT JOIN right USING (keys)`` that tolerates a hot key in ``right``.
 
     A left outer join can only split skew on its preserved (left) side, so a
@@ -16,6 +16,8 @@ def left_join_skew_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> D
     keys of ``right`` (deduplicated map-side, so the hot key is one row).
     Null keys never match, as in the outer join.
     """
+    if one_key:  # both sides are already cut to a single key
+        return left.join(right, keys, "left")
     matched = left.join(right, keys, "inner")
     right_keys = right.select(*keys).distinct()
     unmatched = left.join(right_keys, keys, "left_anti")

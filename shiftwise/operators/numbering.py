@@ -2,79 +2,47 @@
 
 ``row_number() OVER (PARTITION BY keys ORDER BY ...)`` sorts every group
 inside a single task, so one group holding a third of the rows becomes one
-task holding a third of the data. Instead:
-
-1. range-partition on (keys, order): the sampled boundaries cut a large
-   group into consecutive slices of bounded size; sort each slice;
-2. number rows by position inside their slice;
-3. count rows per (group, slice), a small table, and take running totals
-   over the slices of each group (a window over at most
-   #partitions rows per group);
-4. add the offset of the row's slice to its local position.
-
-The sliced rows are read twice (positions and counts). A recomputed range
-exchange samples new boundaries, so the slices are first materialised with
-``checkpoint()`` into the shared ``spark.checkpoint.dir``: both reads see the
-same slice ids, and a lost executor does not change them. Rows that tie on
-the whole order may be numbered either way, as with ``row_number``.
+task holding a third of the data. Instead the caller names *slices*: columns
+computed from the row whose order agrees with the wanted one (say the hour of
+a time that is sorted first). Then
+
+1. rows are numbered inside their (group, slice);
+2. rows are counted per (group, slice), a small table, and the counts of the
+   slices before are added up (a window over at most as many rows as the group
+   has slices);
+3. that offset is added to the number inside the slice.
+
+A slice depends on nothing but its row, so the plan is lazy and a recomputed
+task gives the same numbers. Rows that tie on the whole order may be numbered
+either way, as with ``row_number``.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftwise.session import checkpoint_dir
-
-_POS_BITS = 33  # monotonically_increasing_id: partition id << 33 | position
-
 
 def number_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    out: str = "row_no",
-    num_partitions: int | None = None,
+    df: DataFrame, keys: list[str], order: list[Column], slices: list[Column], out: str = "row_no"
 ) -> DataFrame:
     """``df`` plus ``out`` = 1-based row number per ``keys`` group in ``order``.
 
     ``order`` are sort expressions (e.g. ``F.col("t").asc_nulls_last()``);
-    ``keys`` may be empty for one global numbering.
+    ``slices`` ascend with the order; ``keys`` may be empty for one global
+    numbering.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort = [F.col(k).asc_nulls_first() for k in keys] + list(order)
-    # the range exchange evaluates its input twice (boundary sampling, then
-    # the shuffle); keep it until the eager checkpoint below has run
-    src = df.persist(StorageLevel.MEMORY_AND_DISK)
-    ranged = (
-        src.repartitionByRange(n, *sort)
-        .sortWithinPartitions(*sort)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_slice", F.shiftright("_mid", _POS_BITS))
-        .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1)))
-        .drop("_mid")
-    )
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    src.unpersist()
-    counts = ranged.groupBy(*keys, "_slice").agg(
-        F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_slice{i}" for i in range(len(slices))]
+    sliced = df.select("*", *[c.alias(n) for c, n in zip(slices, names)])
+    within = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
+    counts = sliced.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_slice").alias("_k_slice"),
-        "_first",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-    )
-    cond = reduce(
-        lambda a, b: a & b,
-        [ranged[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys] + [ranged["_slice"] == offsets["_k_slice"]],
+        *[F.col(c).alias(f"_k{c}") for c in [*keys, *names]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    joined = ranged.join(offsets, cond)
-    number = F.col("_before") + F.col("_pos") - F.col("_first") + F.lit(1)
-    return joined.select(*df.columns, number.alias(out))
+    numbered = sliced.withColumn("_within", within)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in [*keys, *names]])
+    number = (F.col("_before") + F.col("_within")).cast("long")
+    return numbered.join(offsets, same).select(*df.columns, number.alias(out))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.functions.exprs import micros_between, minutes2, to_double
+from shiftwise.functions.exprs import hour_floor, micros_between, minutes2, ntz_lit, to_double
 from shiftwise.operators.joins import left_join_skew_safe
 from shiftwise.operators.numbering import number_within
 from shiftwise.sources.tables import Tables
@@ -47,7 +47,7 @@ def shift_detail(t: Tables, rslid: int | None = None) -> DataFrame:
         F.col("cons_end_time").alias("consultation_end"),
         to_double(_minutes()).alias("consultation_duration_mins"),
     )
-    rows = left_join_skew_safe(shifts, cons, ["rslid"])
+    rows = left_join_skew_safe(shifts, cons, ["rslid"], one_key=rslid is not None)
     if rslid is not None:
         rows = rows.orderBy(F.col("consultation_start").asc_nulls_last())
     return rows.select(
@@ -113,6 +113,8 @@ def shift_type_counts(t: Tables, rslid: int | None = None) -> DataFrame:
 
 # --- case ------------------------------------------------------------------------------
 
+# The columns of a case and of a consultation, in the order of
+# the result.
 CASE_COLUMNS = (
     "caseno",
     "active_date",
@@ -184,15 +186,23 @@ def _case_rows(t: Tables, caseno: int | None) -> DataFrame:
         *[F.col(src).alias(out) for src, out in CONSULTATION_COLUMNS],
         _minutes().alias("consultation_duration_mins"),
     )
-    rows = left_join_skew_safe(cases, cons, ["caseno"])
-    users = t.users.filter(F.col("adastra").isNotNull()).select(
-        F.col("adastra").alias("_adastra"), F.col("personid").alias("clinician_personid")
-    )
-    rows = rows.join(users, rows["cons_clinicians_name"] == users["_adastra"], "left")
     surveys = _keyed(t.surveys, "caseno", caseno).select(
         "caseno", "satisfaction", F.col("comments").alias("survey_comments")
     )
-    return rows.join(surveys, "caseno", "left")
+    # cases meet their surveys first; dealt anew, they leave the join with the
+    # consultations an exchange of its own on each side, so a hot case can be split
+    rated = cases.join(surveys, "caseno", "left")
+    if caseno is None:
+        rated = rated.repartition("caseno", "satisfaction")
+    rows = left_join_skew_safe(rated, cons, ["caseno"], one_key=caseno is not None)
+    return _with_clinician(t, rows)
+
+
+def _with_clinician(t: Tables, rows: DataFrame) -> DataFrame:
+    users = t.users.filter(F.col("adastra").isNotNull()).select(
+        F.col("adastra").alias("_adastra"), F.col("personid").alias("clinician_personid")
+    )
+    return rows.join(users, rows["cons_clinicians_name"] == users["_adastra"], "left")
 
 
 def case_detail(t: Tables, caseno: int | None = None) -> DataFrame:
@@ -222,24 +232,32 @@ HEADER_COLUMNS = (
 )
 
 
+_MISSING = 9 * 10**18  # later than any packed time
+
+
 def case_header(t: Tables, caseno: int | None = None) -> DataFrame:
     """The header of the case page: case fields and the duration of the
     first consultation (earliest begin, missing begin last).
 
-    The first consultation is picked per case by an aggregate (min_by),
-    which combines map-side, instead of sorting each case's rows.
+    Begin and end are packed in one decimal whose order is theirs (missing
+    last), so the first consultation is a plain minimum: a hash aggregate that
+    combines map-side and sorts nothing.
     """
-    order_key = F.struct(
-        F.col("cons_begin_time").isNull(),
-        F.col("cons_begin_time"),
-        F.col("cons_end_time").isNull(),
-        F.col("cons_end_time"),
-    )
-    first = (
-        _keyed(t.consultations, "caseno", caseno)
-        .groupBy("caseno")
-        .agg(F.min_by(_minutes(), order_key).alias("first_mins"))
+    epoch = ntz_lit("1970-01-01")
+
+    def since(c: str) -> F.Column:  # microseconds, above 0 for any date; missing last
+        us = micros_between(epoch, c) + F.lit(10**18)
+        return F.coalesce(us, F.lit(_MISSING)).cast("decimal(19,0)")
+
+    unit = F.expr("CAST(10000000000000000000 AS DECIMAL(20,0))")
+    key = (since("cons_begin_time") * unit + since("cons_end_time")).cast("decimal(38,0)")
+    packed = _keyed(t.consultations, "caseno", caseno).groupBy("caseno").agg(F.min(key).alias("_first"))
+    begin = F.expr("_first div CAST(10000000000000000000 AS DECIMAL(20,0))")
+    split = packed.select("caseno", "_first", begin.alias("_begin")).withColumn(
+        "_end", (F.col("_first") - F.col("_begin").cast("decimal(19,0)") * unit).cast("long")
     )
+    known = (F.col("_begin") != _MISSING) & (F.col("_end") != _MISSING)
+    first = split.select("caseno", F.when(known, minutes2(F.col("_end") - F.col("_begin"))).alias("first_mins"))
     cases = _keyed(t.cases, "caseno", caseno)
     j = cases.join(first, "caseno", "left")
     return j.select(
@@ -278,7 +296,9 @@ def case_consultations(t: Tables, caseno: int | None = None) -> DataFrame:
             "survey_comments",
         )
     ]
-    numbered = number_within(rows, ["caseno"], order, out="consultation_no")
+    # slices of a case: the hours in which its consultations begin, missing last
+    hour = [F.col("cons_begin_time").isNull(), hour_floor("cons_begin_time")]
+    numbered = number_within(rows, ["caseno"], order, hour, out="consultation_no")
     if caseno is not None:
         numbered = numbered.orderBy("consultation_no")
     return numbered
@@ -286,7 +306,13 @@ def case_consultations(t: Tables, caseno: int | None = None) -> DataFrame:
 
 def survey_feedback(t: Tables, caseno: int | None = None) -> DataFrame:
     """Case page rows that carry a satisfaction score or a comment."""
-    rows = _case_rows(t, caseno).filter(
-        F.col("satisfaction").isNotNull() | F.col("survey_comments").isNotNull()
+    surveys = (
+        _keyed(t.surveys, "caseno", caseno)
+        .filter(F.col("satisfaction").isNotNull() | F.col("comments").isNotNull())
+        .select("caseno", "satisfaction", F.col("comments").alias("survey_comments"))
     )
-    return rows.select("caseno", "cons_begin_time", "satisfaction", "survey_comments")
+    rated = _keyed(t.cases, "caseno", caseno).select("caseno").join(surveys, "caseno")
+    cons = _keyed(t.consultations, "caseno", caseno).select("caseno", "cons_begin_time", "cons_clinicians_name")
+    cons = cons.join(surveys.select("caseno").distinct(), "caseno", "left_semi")
+    rows = left_join_skew_safe(rated, cons, ["caseno"], one_key=caseno is not None)
+    return _with_clinician(t, rows).select("caseno", "cons_begin_time", "satisfaction", "survey_comments")

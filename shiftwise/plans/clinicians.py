@@ -26,7 +26,7 @@ from shiftwise.functions.exprs import (
 from shiftwise.operators.consult_stats import MICROS, consultation_stats
 from shiftwise.sources.tables import Tables
 
-HOURS = "decimal(20,6)"  # durationdecimal as an exact operand
+HOURS = "decimal(14,6)"  # durationdecimal as an exact operand
 
 
 def month_shifts(t: Tables, month, personid: int | None = None) -> DataFrame:
@@ -104,11 +104,10 @@ def _unique_name_cost(persons: str, cost: str) -> F.Column:
 
 
 def _cost_by_name(shift_totals: DataFrame) -> DataFrame:
-    """One total cost per clinician name (see ``_unique_name_cost``)."""
-    by_name = shift_totals.groupBy("clinician_name").agg(
+    """Persons and a total cost per clinician name (for ``_unique_name_cost``)."""
+    return shift_totals.groupBy("clinician_name").agg(
         F.count(F.lit(1)).alias("_persons"), F.first("total_cost").alias("_cost")
     )
-    return by_name.select("clinician_name", _unique_name_cost("_persons", "_cost").alias("name_total_cost"))
 
 
 # --- consultation statistics -----------------------------------------------------
@@ -133,7 +132,8 @@ def consultation_stats_month(t: Tables, month) -> DataFrame:
     """Consultation statistics per clinician name for ``month``."""
     stats = _consultation_stats_by_name(t, month)
     cost = _cost_by_name(_shift_totals(t, month))
-    j = stats.join(cost, "clinician_name", "left")
+    # the names are checked after the join: only those in the statistics matter
+    j = stats.join(cost, "clinician_name", "left").withColumn("name_total_cost", _unique_name_cost("_persons", "_cost"))
     return j.select(
         "clinician_name",
         F.col("n_cases").alias("total_consultations"),
@@ -189,7 +189,9 @@ def clinician_month(t: Tables, month) -> DataFrame:
 
 def _shift_stats(t: Tables, month, personid: int | None = None) -> DataFrame:
     shifts = month_shifts(t, month, personid).select("rslid")
-    rows = _counted_consultations(t).join(shifts, "rslid")
+    # dealt by (shift, case): without this exchange the first aggregate would
+    # take the join's partitioning, and a hot shift could not be split
+    rows = _counted_consultations(t).join(shifts, "rslid").repartition("rslid", "caseno")
     return consultation_stats(rows, ["rslid"])
 
 
@@ -233,7 +235,7 @@ def _clinician_shift_rows(t: Tables, month, personid: int | None = None) -> Data
         cost.alias("shift_cost"),
         F.col("durationdecimal").alias("shift_hours"),
         F.col("consultation_hours").alias("shift_consultation_hours"),
-        pct2(F.col("consultation_hours"), F.col("durationdecimal"), ROUNDED, HOURS).alias(
+        pct2(F.col("consultation_hours"), F.col("durationdecimal"), whole_type=HOURS).alias(
             "consultation_time_percentage"
         ),
         F.col("n_cases").alias("total_consultations"),
@@ -276,7 +278,10 @@ def clinician_shifts(t: Tables, month, personid: int | None = None) -> DataFrame
 
 
 def clinician_kpis(t: Tables, month, personid: int | None = None) -> DataFrame:
-    """Summary of a clinician's month: consultations, hours and cost (0 when none)."""
+    """Summary of a clinician's month: consultations, hours and cost.
+
+    A missing sum is 0; a clinician without shifts has no row.
+    """
     rows = _clinician_shift_rows(t, month, personid)
     return rows.groupBy(F.col("rota_personid").alias("personid"), "clinician_name").agg(
         F.coalesce(F.sum("total_consultations"), F.lit(0)).cast("long").alias("total_consultations"),

@@ -71,7 +71,7 @@ def month_options(t: Tables) -> DataFrame:
         .select(F.make_timestamp_ntz(F.year("date"), F.month("date"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("m"))
         .distinct()
     )
-    numbered = number_within(months, [], [F.col("m").desc()], out="option_index")
+    numbered = number_within(months, [], [F.col("m").desc()], [-F.year("m")], out="option_index")
     listed = numbered.select("option_index", month_label("m").alias("month_year"))
     head = t.rotas.sparkSession.range(1).select(
         F.lit(0).cast("long").alias("option_index"), F.lit(config.ALL_OPTION).alias("month_year")
@@ -84,7 +84,7 @@ def adastra_options(t: Tables) -> DataFrame:
     names = rotas_clinicians(t).select("adastra").filter(F.col("adastra").isNotNull()).distinct()
     head = t.rotas.sparkSession.range(1).select(F.lit(config.ALL_OPTION).alias("adastra"))
     options = head.unionByName(names)
-    numbered = number_within(options, [], [F.col("adastra").asc()], out="option_index")
+    numbered = number_within(options, [], [F.col("adastra").asc()], [F.substring("adastra", 1, 2)], out="option_index")
     return numbered.select((F.col("option_index") - 1).alias("option_index"), "adastra")
 
 

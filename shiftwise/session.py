@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -32,8 +30,6 @@ def build_session(
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # checkpoint files of the numbering operator are removed once unused
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -43,23 +39,3 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints.
-
-    On a cluster this is the folder already registered with the context or
-    named by ``spark.checkpoint.dir``. Only when neither is set (local tests)
-    a fresh scratch folder is created and registered.
-    """
-    sc = spark.sparkContext
-    existing = sc.getCheckpointDir()
-    if existing:
-        return existing
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if configured:
-        sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="shiftwise-ckpt-")
-    sc.setCheckpointDir(local)
-    return local

@@ -6,7 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StringType, StructType, TimestampNTZType
 
 from shiftwise import schemas
 
@@ -16,7 +16,8 @@ TABLE_NAMES = tuple(schemas.ALL)
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: same names, order and types.
 
-    Missing columns become typed nulls; extra columns are dropped (so column
+    Missing columns become typed nulls, and so do texts in a time column that
+    are no time; extra columns are dropped (so column
     pruning still reaches the scan).
     """
     present = {c.lower(): c for c in df.columns}
@@ -24,7 +25,10 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
     for field in schema.fields:
         src = present.get(field.name.lower())
         value = F.col(src) if src else F.lit(None)
-        cols.append(value.cast(field.dataType).alias(field.name))
+        # a time written as text that is none becomes missing, as a coerced date does
+        dated = src and isinstance(df.schema[src].dataType, StringType) and isinstance(field.dataType, (DateType, TimestampNTZType))
+        cast = value.try_cast if dated else value.cast
+        cols.append(cast(field.dataType).alias(field.name))
     return df.select(*cols)
 
 

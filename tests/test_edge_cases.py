@@ -189,7 +189,7 @@ def test_number_within_equals_row_number_with_hot_key(spark):
     rng = random.Random(3)
     data = [(0 if i % 3 else rng.randrange(1, 50), rng.randrange(0, 1000), i) for i in range(5000)]
     df = spark.createDataFrame(data, "g long, v long, id long")
-    got = number_within(df, ["g"], [F.col("v").asc(), F.col("id").asc()], num_partitions=6)
+    got = number_within(df, ["g"], [F.col("v").asc(), F.col("id").asc()], [F.floor(F.col("v") / 50)])
     w = Window.partitionBy("g").orderBy("v", "id")
     want = df.withColumn("row_no", F.row_number().over(w))
     assert sorted(got.collect()) == sorted(want.collect())
@@ -201,3 +201,60 @@ def test_left_join_skew_safe_equals_left_join(spark):
     got = left_join_skew_safe(left, right, ["k"])
     want = left.join(right, "k", "left")
     assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_costs_keep_their_digits_or_fail(spark):
+    from shiftwise.functions.exprs import money
+
+    df = spark.createDataFrame([("1.23456789",), ("1234567890123.5",), ("",), (None,), ("2.5000000000000",), ("1e3",)], "v string")
+    got = [None if r[0] is None else str(r[0].normalize()) for r in df.select(money("v")).collect()]
+    assert got == ["1.23456789", "1234567890123.5", None, None, "2.5", "1E+3"]
+    for bad in ("1.23456789012", "12345678901234567890", "1e-12", "ten"):
+        with pytest.raises(Exception):
+            spark.createDataFrame([(bad,)], "v string").select(money("v")).collect()
+
+
+def test_durations_out_of_range_are_missing(spark):
+    from shiftwise.functions.exprs import duration_micros
+
+    texts = ["99999999999999999999:00:00", "3000000000:00:00", "99999999999 days 1:00:00", "2 days 1:00:00", "-0:01:00"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(duration_micros("t")).collect()] == [None, None, None, 49 * 3600 * 10**6, -60 * 10**6]
+
+
+def test_month_none_is_the_default_month(spark):
+    from shiftwise.functions.exprs import resolve_month
+
+    day = resolve_month(None) + timedelta(hours=9)
+    t = make_tables(spark, rotas=[rota(1, 5, day, day + 8 * H)], users=[dict(personid=5, fullname="A", adastra="a")])
+    assert clinicians.shift_hours_month(t, None).collect() == clinicians.shift_hours_month(t, day).collect() != []
+
+
+def test_a_shared_name_matters_only_in_the_statistics(spark):
+    day = datetime(2024, 1, 3, 9)
+    users = [dict(personid=1, fullname="Same", adastra="s1"), dict(personid=2, fullname="Same", adastra="s2"), dict(personid=3, fullname="Own", adastra="o")]
+    rotas = [rota(i, i, day, day + 8 * H) for i in (1, 2, 3)]
+    cons = [dict(rslid=3, caseno=1, cons_type="Advice", cons_begin_time=day, cons_end_time=day + H)]
+    t = make_tables(spark, users=users, rotas=rotas, consultations=cons)
+    assert [r.clinician_name for r in clinicians.consultation_stats_month(t, "2024-01-01").collect()] == ["Own"]
+    t = make_tables(spark, users=users, rotas=rotas, consultations=cons + [dict(cons[0], rslid=1)])
+    with pytest.raises(Exception, match="more than one person"):
+        clinicians.consultation_stats_month(t, "2024-01-01").collect()
+
+
+def test_text_that_is_no_date_is_missing(spark):
+    from shiftwise import schemas
+    from shiftwise.sources.tables import conform
+
+    df = spark.createDataFrame([("2024-01-02 03:04:05", 1), ("soon", 2)], "date string, rslid long")
+    assert [r.date for r in conform(df, schemas.ALL["rotas"]).orderBy("rslid").collect()] == [datetime(2024, 1, 2, 3, 4, 5), None]
+
+
+def test_case_header_takes_the_first_consultation(spark):
+    day = datetime(2024, 1, 3, 9)
+    times = {1: [(day, day + H), (day, day + 2 * H), (day - H, None)], 2: [(None, day), (day, day + M)], 3: [(None, None)], 4: []}
+    cons = [dict(caseno=c, cons_begin_time=b, cons_end_time=e) for c, v in times.items() for b, e in v]
+    t = make_tables(spark, cases=[dict(caseno=c) for c in times], consultations=cons)
+    got = {r.caseno: r.consultation_duration_mins for r in cases.case_header(t).collect()}
+    assert got == {1: None, 2: 1.0, 3: None, 4: None}
+    assert cases.case_header(t, 2).first().consultation_duration_mins == 1.0
