@@ -9,8 +9,9 @@
    sum_k (G_k - T_k)^2 / S_k, where G_k = sum_d r_d t_d p_dk is the expected
    token total of domain k, T_k its target and S_k = G_k at r = 1. Projected
    gradient descent from r = 1, in the metric that weighs a document by its
-   tokens: r_d <- clip(r_d - sum_k p_dk e_k) with e_k = (G_k - T_k) / S_k. The
-   step length 1 is safe, as the scaled Hessian has no eigenvalue above 1.
+   tokens: r_d <- clip(r_d - sum_k p_dk e_k) with e_k = l (G_k - T_k) / S_k. The
+   step length l = 1 is safe, as the scaled Hessian has no eigenvalue above 1;
+   each step tries all of ``lengths`` in one pass and takes the best.
 4. A document's rate follows from its posterior and the errors e of the steps
    so far, a table of steps times domains. So nothing but the posteriors is
    stored, each step is one aggregation of K sums, and a lost executor costs
@@ -56,7 +57,10 @@ class Mix:
     features: int = 1 << 14
     per_domain: int = 8000
     steps: int = 60
+    lengths: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
     tolerance: float = 1e-4
+    #: least share of the objective that a step must take off
+    progress: float = 1e-4
 
 
 def words_of(text: Column) -> Column:
@@ -150,35 +154,44 @@ def fit_rates(rows: DataFrame, mix: Mix) -> tuple[np.ndarray, dict[str, np.ndarr
     """
     k = len(DOMAINS)
 
-    def totals(errors: np.ndarray) -> np.ndarray:
+    def totals(errors: np.ndarray, trials: np.ndarray) -> np.ndarray:
+        """G after the steps ``errors`` and each one of ``trials`` as the last."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k)
+            sums = np.zeros((len(trials), k))
             for batch in batches:
                 if batch.num_rows:
                     p, t = _columns(batch)
-                    sums += (_replayed(p, errors, mix.max_rate) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(sums)], names=["k", "g"])
+                    rate = _replayed(p, errors, mix.max_rate)
+                    for i, e in enumerate(trials):
+                        sums[i] += (np.clip(rate - p @ e, 0.0, mix.max_rate) * t) @ p
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["k", "g"])
 
         found = map_arrow(rows.select("_tokens", "_posterior"), run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
-        out = np.zeros(k)
+        out = np.zeros(len(trials) * k)
         for r in found.collect():
             out[r["k"]] = r["g"]
-        return out
+        return out.reshape(len(trials), k)
 
     errors = np.zeros((0, k))
-    supply = reached = totals(errors)
+    supply = reached = totals(errors, np.zeros((1, k)))[0]
     weight = np.array([mix.weights.get(d, 0.0) for d in DOMAINS])
     anchor = DOMAINS.index(mix.anchor)
     target = np.minimum(supply, supply[anchor] * weight / weight[anchor])
     scale = np.maximum(supply, 1e-9)
+
+    def loss(reached: np.ndarray) -> np.ndarray:
+        return ((reached - target) ** 2 / scale).sum(axis=-1)
+
     for _ in range(mix.steps):
-        error = (reached - target) / scale
         if np.abs(reached - target).max() <= mix.tolerance * max(1.0, target.sum()):
             break
-        if len(errors) > 2 and np.abs(error - errors[-1]).max() < 1e-6:
+        trials = np.outer(mix.lengths, (reached - target) / scale)
+        tried = totals(errors, trials)
+        best = int(np.argmin(loss(tried)))
+        if loss(tried[best]) > loss(reached) * (1 - mix.progress):
             break  # as near as rates in their bounds come
-        errors = np.vstack([errors, error])
-        reached = totals(errors)
+        errors, reached = np.vstack([errors, trials[best]]), tried[best]
     return errors, {"supply": supply, "target": target, "reached": reached}
 
 

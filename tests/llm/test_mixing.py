@@ -47,7 +47,7 @@ def test_rates_are_the_projected_gradient_solution(table, spark):
     rnd = np.random.default_rng(1)
     p, t = rnd.dirichlet([0.4, 0.2, 0.2], 200), rnd.integers(1, 500, 200)
     rows = table([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens long, _posterior array<double>")
-    mix = M.Mix(weights={"clean": 0.9, "junk": 0.01, "toxic": 0.005}, tolerance=1e-12, steps=25)
+    mix = M.Mix(weights={"clean": 0.9, "junk": 0.01, "toxic": 0.005}, tolerance=1e-12, steps=25, lengths=(1.0,))
     errors, totals = M.fit_rates(rows, mix)
     supply = t @ p
     target = np.minimum(supply, supply[0] * np.array([0.9, 0.01, 0.005]) / 0.9)
@@ -61,6 +61,14 @@ def test_rates_are_the_projected_gradient_solution(table, spark):
     assert np.allclose(got._rate.to_numpy()[order], r[np.lexsort(np.array([*p.T, t]))])
     assert (((t * r) @ p - target) ** 2 / supply).sum() < 0.1 * start
 
+    # several lengths a step: no worse, and the errors replay to what was reached
+    many, found = M.fit_rates(rows, M.Mix(weights=mix.weights, tolerance=1e-12, steps=25))
+    assert ((found["reached"] - target) ** 2 / supply).sum() <= 1.001 * (((t * r) @ p - target) ** 2 / supply).sum()
+    q = np.ones(200)
+    for e in many:
+        q = np.clip(q - p @ e, 0, 1.0)
+    assert np.allclose(found["reached"], (t * q) @ p)
+
 
 def test_edge_rows(edge, empty, table, no_labels):
     docs, labels = labelled(table, 200)
