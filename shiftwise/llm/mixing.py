@@ -109,8 +109,9 @@ class Classifier:
         sample = parts[0]
         for p in parts[1:]:
             sample = sample.union(p)
+        # at most per_domain rows a domain, so a broadcast of bounded size
         rows = docs.select(field(docs, "doc_id", "long"), words_of(field(docs, "text", "string")).alias("_words")).join(
-            sample, F.col("doc_id") == F.col("l_id")
+            F.broadcast(sample), F.col("doc_id") == F.col("l_id")
         )
         fit = write_table(self.tf.transform(rows).select("_tf", "weight", F.col("domain").cast("double").alias("label")), "fit")
         if fit.isEmpty():
