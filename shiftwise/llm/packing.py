@@ -63,7 +63,7 @@ class Encoder:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(vocabulary)
+        self.whole = whole = Tokenizer.from_file(vocabulary)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
@@ -76,7 +76,7 @@ class Encoder:
             return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))]
 
         self.plain = _Words(merged)
-        self.other = _Words(lambda word: self.whole.encode(word, add_special_tokens=False).ids)
+        self.other = _Words(lambda word: whole.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -171,14 +171,14 @@ class _Index:
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         per = [np.unique(t, return_counts=True) for t in texts]
-        sizes = np.array([len(t) for t in texts], dtype=np.float64)
-        doc = np.repeat(np.arange(len(texts)), [len(u) for u, _ in per])
-        term = np.concatenate([u for u, _ in per]).astype(np.int64)
-        tf = np.concatenate([c for _, c in per]).astype(np.float64)
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / max(mean, 1.0)))
-        order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        long = 1 - b + b * np.array([len(t) for t in texts], dtype=np.float64) / max(mean, 1.0)
+        term = np.concatenate([u for u, _ in per])
+        order = np.argsort(term, kind="stable")  # by term, then by document
+        term = term[order]
+        self.start = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(u) for u, _ in per])[order]
+        tf = np.concatenate([c.astype(np.int32) for _, c in per])[order]
+        self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * long[self.doc])
         self.terms = [u[np.argsort(-idf[u], kind="stable")] for u, _ in per]
         self.n = len(texts)
 
@@ -268,6 +268,7 @@ def pack(
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
+        _encoders.clear()  # a reused worker needs its memory for the index
 
         def packed(held: list) -> pa.RecordBatch:
             texts = [np.frombuffer(x, dtype="<u2") for _, x in held]
