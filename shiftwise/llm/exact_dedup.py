@@ -43,7 +43,8 @@ def keyed_state(log_path: str, log: DataFrame, max_bytes_per_trigger: int = 1 <<
     own = spark.newSession()  # the caller's settings stay as they are
     own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
-    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "64")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB", "4")
     # many small states: no files of megabytes laid out ahead for each
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
