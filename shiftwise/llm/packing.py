@@ -253,16 +253,23 @@ def fill(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int, que
 
 
 def pack(
-    docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = 4096, shard_tokens: int = 1 << 20, query_terms: int = 24
+    docs: DataFrame,
+    vocabulary: str,
+    end_id: int = 2,
+    window: int = 4096,
+    shard_tokens: int = 1 << 20,
+    query_terms: int = 24,
+    max_tasks: int = 1 << 15,
 ) -> DataFrame:
     """The pieces of all sequences: doc_id, start, length, ids, doc_tokens,
-    sequence_id, offset."""
+    sequence_id, offset. Beyond ``max_tasks`` shards a task packs several in
+    turn, holding one at a time."""
     rows = write_table(tokenised(docs, vocabulary, end_id), "tokens")
     size = encoder(vocabulary).whole.get_vocab_size()
     df, n_docs, n_tokens = document_counts(rows, size)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
     mean = n_tokens / max(1, n_docs)
-    shards = max(1, math.ceil(n_tokens / shard_tokens))
+    tasks = min(max_tasks, max(1, math.ceil(n_tokens / shard_tokens)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -299,7 +306,7 @@ def pack(
             yield packed(held)
 
     dealt = (
-        rows.repartitionByRange(shards, "sign", "tie", "doc_id")
+        rows.repartitionByRange(tasks, "sign", "tie", "doc_id")
         .sortWithinPartitions("sign", "tie", "doc_id")
         .select("doc_id", "ids")
     )

@@ -59,6 +59,12 @@ def test_each_id_lies_in_one_piece(edge, empty, window, shard):
     assert P.pack(empty, VOCABULARY).collect() == []
 
 
+def test_few_tasks_pack_many_shards(edge):
+    pieces = P.pack(edge, VOCABULARY, window=64, shard_tokens=200, max_tasks=2).collect()
+    check([(i, t) for i, t, *_ in edge_rows()], pieces, 64)
+    assert len({p.sequence_id >> 40 for p in pieces}) <= 2 < len({p.sequence_id >> 24 for p in pieces})
+
+
 def test_given_table(small):
     pieces = P.pack(small, VOCABULARY)
     check([(r.doc_id, r.text) for r in small.collect()], pieces.collect(), 4096)
