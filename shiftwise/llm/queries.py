@@ -98,4 +98,39 @@ ORACLE: dict[str, str] = {
         groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256
         FROM t JOIN groups USING (text)""",
+    "op7_temporal_url_lists": r"""
+        WITH parts AS (
+            SELECT page_id, url, DATE '2024-01-01' + CAST((page_id % 366 + 366) % 366 AS INTEGER) AS day,
+                   contains(html, '%%%') AS stray,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1) AS authority,
+                   regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/+([^/?#]*)', 1) AS step
+            FROM pages),
+        places AS (
+            SELECT *, nullif(regexp_replace(lower(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')), '\.+$', ''), '') AS host
+            FROM parts),
+        entries AS (
+            SELECT host AS key, day, 2 AS strength FROM places WHERE stray
+            UNION ALL SELECT host, day + 30, 0 FROM places WHERE stray
+            UNION ALL SELECT host || '/' || step, day, 1 FROM places WHERE contains(url, '#') AND step <> ''),
+        days AS (
+            SELECT key, day, max(strength) AS strength FROM entries
+            WHERE key IS NOT NULL AND day IS NOT NULL GROUP BY key, day),
+        changes AS (
+            SELECT key, day, strength FROM days
+            QUALIFY strength IS DISTINCT FROM lag(strength) OVER (PARTITION BY key ORDER BY day)),
+        visits AS (
+            SELECT DISTINCT url, day, host, step, string_split(host, '.') AS labels FROM places
+            WHERE host IS NOT NULL AND day IS NOT NULL),
+        keys AS (
+            SELECT url, day, array_to_string(labels[i:], '.') AS key, len(labels) - i AS rank
+            FROM (SELECT url, day, labels, unnest(range(1, len(labels) + 1)) AS i FROM visits)
+            UNION ALL SELECT url, day, host || '/' || step, 1000 FROM visits WHERE step <> ''),
+        best AS (
+            SELECT k.url, k.day, count(*) AS n_active, arg_max(c.strength, k.rank) = 2 AS blocked,
+                   arg_max(c.key, k.rank) AS entry_key, arg_max(c.day, k.rank) AS valid_from
+            FROM keys k ASOF JOIN changes c ON k.key = c.key AND k.day >= c.day
+            WHERE c.strength > 0 GROUP BY k.url, k.day)
+        SELECT p.page_id, p.day AS fetched, coalesce(b.blocked, false) AS blocked,
+               coalesce(b.n_active, 0) AS n_active, b.entry_key, b.valid_from
+        FROM parts p LEFT JOIN best b ON p.url = b.url AND p.day = b.day""",
 }
