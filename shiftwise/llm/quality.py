@@ -11,12 +11,13 @@ most a share ``risk`` of the good documents of any stratum is rejected by the
 thresholds. The fixed base rules reject first.
 
 Only built-in functions are used. Base counts are made inside the row by array
-functions, whatever its length. Strata with too few good holdout documents to
-certify anything (and languages not in the holdout) share a pooled stratum;
-there are at most ``max_strata`` others, so the table of cutoffs is bounded by
-the parameters and broadcast.
+functions, whatever its length. Every language is certified by its own labelled
+documents only: where they are too few to certify anything, or where there are
+none, no cutoff applies and only the base rules reject. The cutoffs are a
+written table, a row per certifiable language, joined to the documents.
 
-Null texts have no words and fail the base rules; a null language is pooled.
+Null texts have no words and fail the base rules. Documents without a language
+are a stratum of their own, certified by labelled documents without one.
 Labels of a document that are given more than once count once, good only if
 all of them are. Without labels nothing is certified and only the base rules
 reject. Repeated rows are judged alike; an empty table gives an empty result.
@@ -34,6 +35,7 @@ from shiftwise.llm.common import field, with_place, without_places, write_table
 
 _SPACE = "[ \\t\\n\\u000b\\f\\r]+"
 _WINDOW = 5
+#: A stratum that ``thresholds`` never has: no language shares the cutoffs of others.
 POOLED = "*"
 
 def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
@@ -57,7 +59,6 @@ def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
 class Risk:
     risk: float = 0.01
     delta: float = 0.05
-    max_strata: int = 64
 
 
 def _length(text: Column) -> Column:
@@ -166,11 +167,11 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k.cast("double") >= n.cast("double") * rate, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first) * walked))
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str, dict[str, float]]:
-    """stratum -> rule -> the strictest certified cutoff (missing: none).
+def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """(stratum, a column per rule): the strictest certified cutoff, null where
+    none is; a row per language with enough good documents to certify anything.
 
-    ``counts`` has doc_id, lang and the base counts. The answer has at most
-    ``max_strata`` + 1 strata.
+    ``counts`` has doc_id, lang and the base counts.
     """
     scored = rules()
     tests_of = [(name, i, float(c)) for name, (_, cuts) in scored.items() for i, c in enumerate(cuts)]
@@ -184,22 +185,15 @@ def thresholds(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dic
         .select(F.col("doc_id").alias("l_id"))
     )
     held = counts.filter(~base_failed()).join(good, F.col("doc_id") == F.col("l_id"))
-    per_lang = held.groupBy(F.coalesce("lang", F.lit(POOLED)).alias("lang")).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum((scored[name][0] > c).cast("long")).alias(f"{name} {i}") for name, i, c in tests_of],
-    )
     # with fewer good documents than this no cutoff passes, even without a false rejection
     least = math.ceil(math.log(risk.delta / len(tests_of)) / math.log1p(-share))
-    alone = (
-        per_lang.filter((F.col("n") >= least) & (F.col("lang") != POOLED))
-        .orderBy(F.col("n").desc(), "lang")
-        .limit(risk.max_strata)
-        .select(F.col("lang").alias("alone"))
-    )
     per_stratum = (
-        per_lang.join(alone, F.col("lang") == F.col("alone"), "left")
-        .groupBy(F.coalesce("alone", F.lit(POOLED)).alias("stratum"))
-        .agg(F.sum("n").alias("n"), *[F.sum(f"`{name} {i}`").alias(f"{name} {i}") for name, i, _ in tests_of])
+        held.groupBy(F.col("lang").alias("stratum"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.sum((scored[name][0] > c).cast("long")).alias(f"{name} {i}") for name, i, c in tests_of],
+        )
+        .filter(F.col("n") >= least)
     )
     tests = per_stratum.select(
         "stratum",
@@ -214,38 +208,43 @@ def thresholds(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dic
         ).alias("t"),
     ).select("stratum", "t.rule", "t.cutoff", binomial_tail(F.col("n"), F.col("t.k"), share).alias("p"))
     # Holm: in order of p, the i-th of m tests passes while all up to it have
-    # p <= delta / (m - i + 1); at most (max_strata + 1) * tests rows meet here
+    # p <= delta / (m - i + 1); as many rows meet here as there are tests, for
+    # each language with ``least`` good labelled documents
     order = Window.orderBy("p", "stratum", "rule", "cutoff")
     m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     ranked = tests.select("*", m.alias("m"), F.row_number().over(order).alias("i"))
     fails = (F.col("p") > F.lit(risk.delta) / (F.col("m") - F.col("i") + 1)).cast("int")
     passed = ranked.withColumn("failed", F.sum(fails).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    chosen = passed.filter(F.col("failed") == 0).groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    found: dict[str, dict[str, float]] = {r["lang"]: {} for r in alone.select(F.col("alone").alias("lang")).collect()}
-    for r in chosen.collect():
-        found.setdefault(r["stratum"], {})[r["rule"]] = r["cutoff"]
-    return found
+    return passed.groupBy("stratum").agg(
+        *[F.min(F.when((F.col("rule") == name) & (F.col("failed") == 0), F.col("cutoff"))).alias(name) for name in scored]
+    )
+
+
+def thresholds(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> dict[str | None, dict[str, float]]:
+    """``cutoffs`` for reading: stratum -> rule -> cutoff (missing: none)."""
+    return {
+        r["stratum"]: {name: r[name] for name in rules() if r[name] is not None}
+        for r in cutoffs(counts, labels, risk).collect()
+    }
 
 
-def kept(cuts: dict[str, dict[str, float]]) -> Column:
-    """Whether a row with ``lang`` and the base counts passes all rules."""
-    out = ~base_failed()
-    own = [s for s in sorted(cuts) if s != POOLED]
+def with_kept(counts: DataFrame, labels: DataFrame, risk: Risk) -> DataFrame:
+    """``counts`` plus ``kept``: whether a row passes all rules."""
+    cuts = write_table(cutoffs(counts, labels, risk), "cutoffs")
+    cuts = cuts.select(F.col("stratum").alias("_stratum"), *[F.col(name).alias(f"_cut_{name}") for name in rules()])
+    kept = ~base_failed()
     for name, (score, _) in rules().items():
-        cut = F.lit(cuts.get(POOLED, {}).get(name)).cast("double")
-        for stratum in own:
-            cut = F.when(F.col("lang") == stratum, F.lit(cuts[stratum].get(name)).cast("double")).otherwise(cut)
-        out = out & ~F.coalesce(score > cut, F.lit(False))
-    return out
+        kept = kept & ~F.coalesce(score > F.col(f"_cut_{name}"), F.lit(False))
+    return counts.join(cuts, F.col("lang").eqNullSafe(F.col("_stratum")), "left").select(*counts.columns, kept.alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """A row per document: doc_id, base counts, base_failed, kept."""
     src = docs.select(field(docs, "doc_id", "long"), field(docs, "lang", "string"), field(docs, "text", "string"))
     counts = write_table(base_counts(src, ["doc_id", "lang"]), "quality")
-    return counts.select(
+    return with_kept(counts, labels, risk).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed().alias("base_failed"), kept(thresholds(counts, labels, risk)).alias("kept"),
+        base_failed().alias("base_failed"), "kept",
     )
 
 
@@ -254,5 +253,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     src = with_place(docs)
     rows = src.select(field(src, "doc_id", "long"), field(src, "lang", "string"), field(src, "text", "string"), "_llm_file", "_llm_row")
     counts = write_table(base_counts(rows, ["doc_id", "lang", "_llm_file", "_llm_row"]), "quality")
-    gone = counts.filter(~kept(thresholds(counts, labels, risk))).select("_llm_file", "_llm_row")
+    gone = with_kept(counts, labels, risk).filter(~F.col("kept")).select("_llm_file", "_llm_row")
     return without_places(src, write_table(gone, "rejected"), docs.columns)
