@@ -71,7 +71,7 @@ def op9_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.drop_lines(_documents(spark, sf_dir)).select(
+    return line_templates.drop_lines(_documents(spark, sf_dir), **line_templates.WHOLE).select(
         "doc_id", "n_lines", "n_dropped", F.crc32("text").alias("rest_crc32")
     )
 
