@@ -5,8 +5,10 @@ by range over a content signature into shards of about ``shard_tokens``
 tokens, so documents that share rare words tend to share a shard. A shard is
 a BM25 inverted index of its own documents (term weights use document counts
 of the whole corpus, a table bounded by the vocabulary): the first unused
-document seeds a sequence, the index returns the unused neighbours of the
-seed, best first, and they fill the window greedily. A document that crosses
+document seeds a sequence, the index scores all documents by all terms of the
+seed (or the ``query_terms`` rarest) and returns its unused neighbours, best
+first, and they fill the window greedily. A seed has no neighbours outside its
+shard. A document that crosses
 the window's end is cut, and its rest seeds the next sequence. What is left
 at the end of a shard goes into sequences whose lengths are powers of two, so
 nothing is padded.
@@ -182,7 +184,7 @@ class _Index:
         self.terms = [u[np.argsort(-idf[u], kind="stable")] for u, _ in per]
         self.n = len(texts)
 
-    def neighbours(self, seed: int, query_terms: int) -> np.ndarray:
+    def neighbours(self, seed: int, query_terms: int | None = None) -> np.ndarray:
         """Documents that share weighted terms with the seed, best first."""
         score = np.zeros(self.n)
         for t in self.terms[seed][:query_terms]:
@@ -192,7 +194,9 @@ class _Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill(texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int) -> Iterator[tuple[int, int, int, int, int]]:
+def fill(
+    texts: list[np.ndarray], idf: np.ndarray, mean: float, window: int, query_terms: int | None = None
+) -> Iterator[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of a shard."""
     index = _Index(texts, idf, mean)
     used = np.zeros(len(texts), dtype=bool)
@@ -258,7 +262,7 @@ def pack(
     end_id: int = 2,
     window: int = 4096,
     shard_tokens: int = 1 << 20,
-    query_terms: int = 24,
+    query_terms: int | None = None,
     max_tasks: int = 1 << 15,
 ) -> DataFrame:
     """The pieces of all sequences: doc_id, start, length, ids, doc_tokens,
