@@ -24,6 +24,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiftwise.sources.shared import write_shared
+
+_PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its partition
+
 
 def number_within(
     df: DataFrame, keys: list[str], order: list[Column], slices: list[Column], out: str = "row_no"
@@ -46,3 +50,24 @@ def number_within(
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in [*keys, *names]])
     number = (F.col("_before") + F.col("_within")).cast("long")
     return numbered.join(offsets, same).select(*df.columns, number.alias(out))
+
+
+def number_by_range(df: DataFrame, order: list[Column], out: str = "row_no") -> DataFrame:
+    """``df`` plus ``out`` = 1-based number of each row in one global ``order``.
+
+    Rows are dealt by sampled ranges of the whole order, sorted inside each
+    range and written to the shared folder with their place; a range's offset
+    is the number of rows in the ranges before it (one row per range). No
+    common prefix or slice of the order gathers in one task, and the stored
+    places stay the same when a task is run again. Rows that tie on the whole
+    order share a range; end ``order`` with a unique column to spread them.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    stored = write_shared(placed, "numbered")
+    part = F.shiftright("_at", _PLACE_BITS)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))  # one row per range
+    place = F.col("_at") - F.shiftleft(part, _PLACE_BITS)
+    number = (F.col("_before") + place + 1).cast("long")
+    return stored.join(F.broadcast(offsets), part == F.col("_part")).select(*df.columns, number.alias(out))
