@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shiftwise.llm import (
     exact_dedup,
+    importance,
     licenses,
     line_templates,
     mixing,
@@ -76,6 +77,10 @@ def op10_line_template_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_soft_membership_mixing,
         op9_unigram_token_counts,
         op10_line_template_dedup,
+        op11_importance_resampling,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -133,4 +139,47 @@ ORACLE: dict[str, str] = {
         SELECT p.page_id, p.day AS fetched, coalesce(b.blocked, false) AS blocked,
                coalesce(b.n_active, 0) AS n_active, b.entry_key, b.valid_from
         FROM parts p LEFT JOIN best b ON p.url = b.url AND p.day = b.day""",
+    "op11_importance_resampling": r"""
+        WITH texts AS (
+            SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+        words AS (
+            SELECT doc_id, item_id IS NULL AS raw, row_number() OVER () AS row_no,
+                   coalesce(regexp_extract_all(
+                       translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words
+            FROM texts),
+        crc_table AS (
+            SELECT list(list_reduce(range(8), lambda c, n: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+                        ORDER BY i) AS t
+            FROM range(256) AS r(i)),
+        vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM words),
+        coded AS (
+            SELECT word, list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT) AS bytes
+            FROM vocabulary),
+        buckets AS (
+            SELECT word, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+            FROM coded, crc_table),
+        features AS (
+            SELECT row_no, raw, bucket FROM (SELECT row_no, raw, unnest(words) AS word FROM words) JOIN buckets USING (word)),
+        counts AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM features GROUP BY bucket),
+        totals AS (SELECT coalesce(sum(s), 0) AS all_s, coalesce(sum(t), 0) AS all_t FROM counts),
+        gains AS (
+            SELECT bucket, CAST(floor(1000 * ln(((t + 1)::DOUBLE * (all_s + 10000)::DOUBLE)
+                                                / ((s + 1)::DOUBLE * (all_t + 10000)::DOUBLE))) AS BIGINT) AS gain
+            FROM counts, totals),
+        sums AS (SELECT row_no, sum(gain)::BIGINT AS total, count(*) AS n FROM features JOIN gains USING (bucket) WHERE raw GROUP BY row_no),
+        weights AS (
+            SELECT doc_id, len(words) AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+                   ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+            FROM words LEFT JOIN sums USING (row_no) WHERE raw),
+        scores AS (
+            SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+            FROM weights),
+        able AS (
+            SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place,
+                   count(*) FILTER (n_features >= 20) OVER () AS n
+            FROM scores)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank
+        FROM able""",
 }
