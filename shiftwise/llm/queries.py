@@ -14,6 +14,7 @@ from shiftwise.llm import (
     importance,
     licenses,
     line_templates,
+    main_text,
     mixing,
     packing,
     quality,
@@ -81,6 +82,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_line_block_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_unigram_token_counts,
         op10_line_template_dedup,
         op11_importance_resampling,
+        op12_line_block_main_text,
     )
 } | {"pipeline": corpus_pipeline.run}
 
