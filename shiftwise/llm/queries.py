@@ -20,6 +20,7 @@ from shiftwise.llm import (
     quality,
     sharding,
     simhash,
+    turn_repair,
     unigram_counts,
     url_lists,
 )
@@ -86,6 +87,10 @@ def op12_line_block_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(read_table(spark, sf_dir, "pages"))
 
 
+def op13_hirschberg_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_template_dedup,
         op11_importance_resampling,
         op12_line_block_main_text,
+        op13_hirschberg_turn_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
