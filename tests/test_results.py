@@ -1,0 +1,122 @@
+"""Stored results: reuse, expiry, changed input, writers side by side."""
+
+import threading
+from datetime import date, datetime, timedelta
+
+import pytest
+
+from shiftwise.plans import hourly
+from shiftwise.sources import manifests
+from shiftwise.sources.results import ResultStore
+from shiftwise.sources.tables import Tables
+from tests.util import rows
+
+ARGS = dict(start=datetime(2024, 1, 2), end=datetime(2024, 1, 9))
+
+
+class Clock:
+    now = 1_000_000.0
+
+    def __call__(self):
+        return self.now
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    clock = Clock()
+    return ResultStore(spark, str(tmp_path / "results"), clock=clock), clock
+
+
+def counted(spark, calls):
+    def compute():
+        calls.append(1)
+        return spark.createDataFrame([(len(calls), None)], "n long, t timestamp_ntz")
+
+    return compute
+
+
+def test_second_call_reads_the_stored_result(spark, store):
+    st, clock = store
+    calls = []
+    first = st.get("r", {"a": 1, "d": date(2024, 1, 2)}, "v1", counted(spark, calls))
+    again = st.get("r", {"d": datetime(2024, 1, 2), "a": 1}, "v1", counted(spark, calls))
+    assert rows(first) == rows(again) == [(1, None)] and calls == [1] and again.schema == first.schema
+    clock.now += 3599
+    st.get("r", {"a": 1, "d": date(2024, 1, 2)}, "v1", counted(spark, calls))
+    assert calls == [1]
+
+
+def test_expiry_arguments_and_version(spark, store):
+    st, clock = store
+    calls = []
+    st.get("r", {"a": 1}, "v1", counted(spark, calls))
+    assert rows(st.get("r", {"a": 1}, "v2", counted(spark, calls)))[0][0] == 2  # another input
+    assert rows(st.get("r", {"a": "1"}, "v1", counted(spark, calls)))[0][0] == 3  # another argument
+    assert rows(st.get("s", {"a": 1}, "v1", counted(spark, calls)))[0][0] == 4  # another report
+    clock.now += 3600
+    assert rows(st.get("r", {"a": 1}, "v1", counted(spark, calls)))[0][0] == 5  # expired
+    with pytest.raises(TypeError):
+        st.get("r", {"a": object()}, "v1", counted(spark, calls))
+
+
+def test_writers_do_not_mix(spark, store):
+    """Both compute, neither sees the other's rows; readers take one whole result."""
+    st, _ = store
+    barrier = threading.Barrier(2)
+
+    def writer(n):
+        def compute():
+            barrier.wait(60)
+            return spark.range(n * 1000, n * 1000 + 500, 1, 4).toDF("n")
+
+        return lambda: out.append([r[0] for r in st.get("r", {}, "v", compute).collect()])
+
+    out = []
+    threads = [threading.Thread(target=writer(n)) for n in (1, 2)]
+    [t.start() for t in threads]
+    [t.join(120) for t in threads]
+    whole = [list(range(n * 1000, n * 1000 + 500)) for n in (1, 2)]
+    assert sorted(sorted(o) for o in out) == whole
+    read = [r[0] for r in st.get("r", {}, "v", lambda: pytest.fail("stored already")).collect()]
+    assert sorted(read) in whole
+
+
+def test_unpublished_data_is_not_read(spark, store):
+    """A writer that dies before its manifest leaves nothing to read."""
+    st, clock = store
+
+    def dies():
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        st.get("r", {}, "v", dies)
+    folder, _ = st._folder("r", {})
+    spark.range(3).write.parquet(f"{folder}/data-orphan")
+    calls = []
+    st.get("r", {}, "v", counted(spark, calls))
+    assert calls == [1]
+    import time
+
+    clock.now = time.time() + 7300  # files carry the real time
+    assert st.sweep() == 2 and manifests.published(spark, folder) == []
+    st.get("r", {}, "v", counted(spark, calls))
+    assert calls == [1, 1] and st.sweep() == 0
+
+
+def test_report_follows_its_input_files(spark, small_tables, tmp_path, store):
+    st, _ = store
+    for name, df in small_tables.as_dict().items():
+        df.write.parquet(str(tmp_path / "in" / name))
+    t = Tables.from_parquet(spark, str(tmp_path / "in"))
+    first = st.report(hourly.calls_by_hour, t, **ARGS)
+    assert rows(first) == rows(hourly.calls_by_hour(small_tables, **ARGS))
+    seen = first.inputFiles()
+    assert st.report(hourly.calls_by_hour, t, **ARGS).inputFiles() == seen
+    extra = small_tables.phone_calls.limit(50)
+    extra.write.mode("append").parquet(str(tmp_path / "in" / "phone_calls"))
+    t2 = Tables.from_parquet(spark, str(tmp_path / "in"))
+    second = st.report(hourly.calls_by_hour, t2, **ARGS)
+    assert second.inputFiles() != seen and rows(second) == rows(hourly.calls_by_hour(t2, **ARGS))
+    with pytest.raises(ValueError):
+        manifests.files_version(spark.range(1))
+    assert ResultStore(spark, st.root).expiry == timedelta(hours=1).total_seconds()
