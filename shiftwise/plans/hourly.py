@@ -64,15 +64,21 @@ def _staff_by_index(t: Tables, start, end) -> DataFrame:
     return bins.groupBy(HOUR_INDEX).agg(F.countDistinct("personid").alias("num_staff"))
 
 
+def staff_on_grid(grid: DataFrame, staff: DataFrame, bound: int) -> DataFrame:
+    """Staff counts by hour index laid on the hours of ``grid`` (0 if none)."""
+    return grid.join(bounded_broadcast(staff, bound), HOUR_INDEX, "left").select(
+        HOUR_START, F.coalesce(F.col("num_staff"), F.lit(0)).cast("long").alias("num_staff")
+    )
+
+
+def _hour_bound(start, end) -> int:
+    """Hour buckets met by the range."""
+    return hour_count(as_datetime(start), as_datetime(end)) + 2
+
+
 def staff_per_hour(t: Tables, start, end) -> DataFrame:
     """Distinct call handlers on shift for each hour of the series (0 if none)."""
-    grid = hour_grid(_session(t), start, end)
-    bound = hour_count(as_datetime(start), as_datetime(end)) + 2  # hour buckets met by the range
-    staff = bounded_broadcast(_staff_by_index(t, start, end), bound)
-    return (
-        grid.join(staff, HOUR_INDEX, "left")
-        .select(HOUR_START, F.coalesce(F.col("num_staff"), F.lit(0)).cast("long").alias("num_staff"))
-    )
+    return staff_on_grid(hour_grid(_session(t), start, end), _staff_by_index(t, start, end), _hour_bound(start, end))
 
 
 def _consult_types(t: Tables, start, end) -> DataFrame:
@@ -95,11 +101,17 @@ def hourly_activity(t: Tables, start, end) -> DataFrame:
     bound is known from the arguments, so they are broadcast when it is
     small; the data volume only affects the scans and partial aggregates.
     """
-    grid = hour_grid(_session(t), as_datetime(start), as_datetime(end))
-    bound = hour_count(as_datetime(start), as_datetime(end)) + 2  # hour buckets met by the range
-    calls = bounded_broadcast(_call_stats(t, start, end), bound)
-    staff = bounded_broadcast(_staff_by_index(t, start, end), bound)
-    cons = bounded_broadcast(_consult_types(t, start, end), bound)
+    return activity_on_grid(
+        _session(t), start, end, _call_stats(t, start, end), _staff_by_index(t, start, end), _consult_types(t, start, end)
+    )
+
+
+def activity_on_grid(
+    spark: SparkSession, start, end, calls: DataFrame, staff: DataFrame, cons: DataFrame
+) -> DataFrame:
+    """The three hourly aggregates, each at most a row an hour, laid on the series."""
+    grid = hour_grid(spark, as_datetime(start), as_datetime(end))
+    calls, staff, cons = (bounded_broadcast(x, _hour_bound(start, end)) for x in (calls, staff, cons))
     joined = (
         grid.join(calls, HOUR_START, "left")
         .join(staff, HOUR_INDEX, "left")
