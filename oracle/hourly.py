@@ -11,47 +11,37 @@ def _t(d: datetime) -> str:
     return ts(d.strftime("%Y-%m-%d %H:%M:%S"))
 
 
-HOUR_US = 3_600_000_000
-
-
 def _call_stats(s, e) -> str:
-    return f"""calls_in AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, start_time) AS hour_start, duration_talk AS secs,
-         duration_talk * (direction = 'INBOUND' AND direction IS NOT NULL)::INTEGER AS secs_in
-  FROM phone_calls
-  WHERE start_time BETWEEN {_t(s)} AND {_t(e)} AND start_time <> {_t(e)}
-),
-call_sums AS (
-  SELECT hour_start, COUNT(*) AS num_calls, SUM(secs) AS secs,
-         COALESCE(SUM(secs_in), 0) AS secs_in
-  FROM calls_in GROUP BY ALL
+    """Sums per hour and direction first; the hour's figures from its directions."""
+    return f"""directions AS (
+  SELECT date_trunc('hour', start_time) AS hour_start, direction, COUNT(*) AS n, SUM(duration_talk) AS secs
+  FROM phone_calls WHERE start_time >= {_t(s)} AND start_time < {_t(e)}
+  GROUP BY ALL
 ),
+inbound AS (SELECT hour_start, secs AS secs_in FROM directions WHERE direction = 'INBOUND'),
+hour_sums AS (SELECT hour_start, SUM(n)::BIGINT AS num_calls, SUM(secs) AS secs FROM directions GROUP BY hour_start),
 call_stats AS (
-  SELECT hour_start, num_calls, {r2('secs', '60')} AS total_minutes, {r2('secs_in', '60')} AS total_inbound_minutes
-  FROM call_sums
+  SELECT hour_start, num_calls, {r2('secs', '60')} AS total_minutes,
+         {r2('COALESCE(secs_in, 0)', '60')} AS total_inbound_minutes
+  FROM hour_sums LEFT JOIN inbound USING (hour_start)
 )"""
 
 
 def _grid(s, e) -> str:
-    # hours by number, so that a shift can be laid out over them by arithmetic
     hours = int((e - s).total_seconds() // 3600) + 1
-    return f"""grid AS (
-  SELECT k, {_t(s)} + to_hours(CAST(k AS INTEGER)) AS hour_start FROM range({hours}) AS t(k)
-)"""
+    return f"""grid AS (SELECT {_t(s)} + to_hours(CAST(k AS INTEGER)) AS hour_start FROM range({hours}) AS t(k))"""
 
 
-def _staff(s) -> str:
-    # a shift touches hour k while login + 1 min - 1 h <= hour < logout + 1 min
-    first = f"CAST(ceil((epoch_us(truelogin) - epoch_us({_t(s)}) + 60000000 - {HOUR_US}) / {HOUR_US}.0) AS BIGINT)"
-    after = f"CAST(ceil((epoch_us(truelogout) - epoch_us({_t(s)}) + 60000000) / {HOUR_US}.0) AS BIGINT)"
-    return f"""pairs AS (
-  SELECT DISTINCT personid, unnest(range(greatest({first}, 0), least({after}, (SELECT COUNT(*) FROM grid)))) AS k
-  FROM rotas
-  WHERE role = 'Call Handler' AND truelogin IS NOT NULL AND truelogout IS NOT NULL
+def _staff() -> str:
+    """The overlap itself: shifts that begin by the hour's last minute and end after
+    the minute before it. The engine lays shifts out over hours by arithmetic."""
+    return """handlers AS (
+  SELECT DISTINCT grid.hour_start, personid
+  FROM grid, rotas
+  WHERE role = 'Call Handler' AND truelogin <= hour_start + INTERVAL 59 MINUTE AND truelogout > hour_start - INTERVAL 1 MINUTE
 ),
-present AS (SELECT k, COUNT(personid) AS num_staff FROM pairs GROUP BY k),
 staff AS (
-  SELECT hour_start, COALESCE(num_staff, 0) AS num_staff FROM grid LEFT JOIN present USING (k)
+  SELECT hour_start, COUNT(personid) AS num_staff FROM grid LEFT JOIN handlers USING (hour_start) GROUP BY hour_start
 )"""
 
 
@@ -66,20 +56,14 @@ TYPE_COLUMNS = (
 
 
 def _cons(s, e) -> str:
-    picked = ",\n         ".join(
-        f"COALESCE(SUM(n) FILTER (WHERE cons_type = '{kind}'), 0)::BIGINT AS {name}" for kind, name in TYPE_COLUMNS
-    )
-    return f"""by_type AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, cons_begin_time) AS hour_start, cons_type, COUNT(*) AS n
-  FROM consultations
-  WHERE cons_begin_time BETWEEN {_t(s)} AND {_t(e)} AND cons_begin_time <> {_t(e)}
+    """A tally of all types of each hour, then the columns out of it."""
+    picked = ", ".join(f"COALESCE(tally['{kind}'], 0)::BIGINT AS {name}" for kind, name in TYPE_COLUMNS)
+    return f"""tallies AS (
+  SELECT date_trunc('hour', cons_begin_time) AS hour_start, histogram(cons_type) AS tally
+  FROM consultations WHERE cons_begin_time >= {_t(s)} AND cons_begin_time < {_t(e)}
   GROUP BY ALL
 ),
-cons AS (
-  SELECT hour_start,
-         {picked}
-  FROM by_type GROUP BY hour_start
-)"""
+cons AS (SELECT hour_start, {picked} FROM tallies)"""
 
 
 def call_stats_hourly(s, e) -> str:
@@ -90,7 +74,7 @@ def call_stats_hourly(s, e) -> str:
 
 
 def staff_per_hour(s, e) -> str:
-    return with_prelude("SELECT hour_start, num_staff FROM staff", _grid(s, e) + ",\n" + _staff(s))
+    return with_prelude("SELECT hour_start, num_staff FROM staff", _grid(s, e) + ",\n" + _staff())
 
 
 def consult_type_hourly(s, e) -> str:
@@ -122,7 +106,7 @@ def _hourly_body() -> str:
 
 
 def _hourly_ctes(s, e) -> str:
-    return ",\n".join([_grid(s, e), _call_stats(s, e), _staff(s), _cons(s, e)])
+    return ",\n".join([_grid(s, e), _call_stats(s, e), _staff(), _cons(s, e)])
 
 
 def hourly_activity(s, e) -> str:
@@ -148,3 +132,10 @@ FROM phone_calls
 WHERE start_time >= {_t(s)} AND start_time < {_t(e)}
 GROUP BY 1"""
     )
+
+
+def call_agents_daily(s, e) -> str:
+    return with_prelude(
+        f"""SELECT CAST(start_time AS DATE)::TIMESTAMP AS period, COUNT(DISTINCT agent_number) AS agents
+FROM phone_calls WHERE start_time >= {_t(s)} AND start_time < {_t(e)} GROUP BY period"""
+    )
