@@ -36,4 +36,22 @@ ORACLE: dict[str, str] = {
     "adastra_options": rosters.adastra_options(),
     "duration_hours": rosters.duration_hours(),
     "daily_role_hours_cost": rosters.daily_role_hours_cost(R.HOURLY_START, R.HOURLY_END),
+    "clinician_ranking": clinicians.clinician_ranking(R.MONTH),
+    "call_agents_daily": hourly.call_agents_daily(R.CALLS_START, R.CALLS_END),
+    "duration_hours_forms": rosters.duration_hours_forms(),
+    "rota_dates_coerced": rosters.rota_dates_coerced(),
+    "coercion_losses": rosters.coercion_losses(R.HOURLY_START, R.HOURLY_END),
 }
+
+# the same reports by other ways
+for _report, _plain in {
+    "clinician_month_layout": "clinician_month",
+    "shift_detail_layout": "shift_detail",
+    "calls_by_hour_snapshot": "calls_by_hour",
+    "calls_by_hour_stored": "calls_by_hour",
+    "hourly_activity_stored": "hourly_activity",
+    "sql_shift_detail": "shift_detail",
+    "sql_call_stats_hourly": "call_stats_hourly",
+    "sql_daily_role_hours_cost": "daily_role_hours_cost",
+}.items():
+    ORACLE[_report] = ORACLE[_plain]

@@ -94,3 +94,39 @@ WHERE date >= TIMESTAMP '{s}' AND date <= TIMESTAMP '{e}' AND role IS NOT NULL
 GROUP BY date, role""",
         CLIN + ",\n" + DURATIONS,
     )
+
+
+def duration_hours_forms() -> str:
+    """Text and hours of each form are written side by side, not parsed."""
+    return with_prelude(
+        """SELECT rslid, personid,
+  CASE rslid % 8
+    WHEN 0 THEN (mins // 60) || 'h' || (mins % 60) || 'm'
+    WHEN 1 THEN mins || ' min'
+    WHEN 2 THEN (mins // 60) || CASE WHEN mins % 60 = 30 THEN '.5' ELSE '' END || ' hours'
+    WHEN 3 THEN 'PT' || (mins // 60) || 'H' || (mins % 60) || 'M'
+    WHEN 4 THEN '1 days ' || lpad((mins // 60)::VARCHAR, 2, '0') || ':' || lpad((mins % 60)::VARCHAR, 2, '0') || ':00'
+    WHEN 5 THEN '-' || mins || ' minutes'
+    WHEN 6 THEN mins || ' fortnights'
+    ELSE (mins // 60) || ' hr, ' || (mins % 60) || ' minutes' END AS duration,
+  CASE rslid % 8 WHEN 4 THEN mins / 60.0::DOUBLE + 24 WHEN 5 THEN -mins / 60.0::DOUBLE WHEN 6 THEN NULL
+    ELSE mins / 60.0::DOUBLE END AS duration_hours
+FROM (SELECT *, CAST(240 + 30 * (rslid % 17) AS BIGINT) AS mins FROM rc)""",
+        CLIN,
+    )
+
+
+def rota_dates_coerced() -> str:
+    return with_prelude("SELECT rslid, CASE WHEN rslid % 97 <> 0 AND rslid % 10 <> 0 THEN date END AS date FROM rotas")
+
+
+def coercion_losses(start: datetime, end: datetime) -> str:
+    s, e = start.strftime("%Y-%m-%d %H:%M:%S"), end.strftime("%Y-%m-%d %H:%M:%S")
+    return with_prelude(
+        f"""SELECT 'duration' AS column_name, COUNT(*) FILTER (duration IS NOT NULL AND dmicros IS NULL) AS n_lost FROM kept
+UNION ALL SELECT 'value', COUNT(*) FILTER (value = '') FROM kept""",
+        CLIN
+        + ",\n"
+        + DURATIONS
+        + f",\nkept AS (SELECT * FROM parsed WHERE date BETWEEN TIMESTAMP '{s}' AND TIMESTAMP '{e}' AND role IS NOT NULL)",
+    )

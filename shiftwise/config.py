@@ -15,6 +15,9 @@ HMR_VH_VISIT = "HMR VH Visit"
 CALL_HANDLER_ROLE = "Call Handler"
 INBOUND = "INBOUND"
 ALL_OPTION = "(All)"
+# Text order of names in a sorted report: root order of the Unicode collation
+# algorithm (the database's own is not known; "UTF8_BINARY" is byte order).
+NAME_COLLATION = "UNICODE"
 # --------------------------------------------------------------------------
 
 # Advice types ("A"): counted as advice, and as "advice stays advice" when

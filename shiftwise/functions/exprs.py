@@ -232,38 +232,91 @@ def normalise_duration(d: Column | str) -> Column:
     return F.when(F.size(F.split(text, ":", -1)) == 2, F.concat(text, F.lit(":00"))).otherwise(text)
 
 
-# Fixed value: accepted duration text — optional sign, optional 'N days '
-# prefix, hours:minutes:seconds with one or two digits for minutes and
-# seconds, optional fraction of a second.
-DURATION_PATTERN = r"^(-?)(?:(\d+) days? )?(\d+):(\d{1,2}):(\d{1,2})(?:\.(\d{1,6}))?$"
+# Names of units of a duration and their length in nanoseconds. Case
+# does not matter, but that M, Y and y name no fixed length.
+DURATION_UNITS = (
+    (7 * 24 * 3600 * 10**9, ("w",)),
+    (24 * 3600 * 10**9, ("d", "day", "days")),
+    (3600 * 10**9, ("h", "hr", "hour", "hours")),
+    (60 * 10**9, ("m", "t", "min", "minute", "minutes")),
+    (10**9, ("s", "sec", "second", "seconds")),
+    (10**6, ("ms", "l", "milli", "millis", "millisecond", "milliseconds")),
+    (10**3, ("us", "\u00b5s", "u", "micro", "micros", "microsecond", "microseconds")),
+    (1, ("ns", "n", "nano", "nanos", "nanosecond", "nanoseconds")),
+)
+AMBIGUOUS_UNITS = ("M", "Y", "y")
+
+# Clock text (hours:minutes:seconds of any length, fraction of a
+# second), an amount with its unit, and the ISO 8601 form.
+CLOCK_PATTERN = r"^(-?)(?:(\d+):(\d+):(\d+)(?:\.(\d+))?)?$"
+AMOUNT_PATTERN = r"(\d+)(?:\.(\d*))?([A-Za-z\u00b5]+)"
+ISO_PATTERN = r"^(-?)P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)(?:\.(\d+))?S)?)?$"
+
+_NANOS = "decimal(38,0)"
+
+
+def _units_of(text: Column) -> Column:
+    """Nanoseconds of a unit's name; null for any other word."""
+    names = F.create_map(*[x for nanos, words in DURATION_UNITS for w in words for x in (F.lit(w), F.lit(nanos).cast("long"))])
+    return F.when(~text.isin(*AMBIGUOUS_UNITS), F.try_element_at(names, F.lower(text)))
+
+
+def _amount(whole: Column, fraction: Column, unit: Column) -> Column:
+    """Nanoseconds of ``whole.fraction`` units, cut after nine places; a part that
+    is not there counts as 0, one that is too long is null."""
+    number = F.when(whole == "", F.lit(0)).otherwise(whole.try_cast("decimal(18,0)"))
+    parts = F.rpad(F.substring(fraction, 1, 9), 9, "0").try_cast("decimal(9,0)")
+    below = F.floor(F.coalesce(parts, F.lit(0)).cast("decimal(9,0)") * unit.cast("decimal(18,0)") / F.lit(10**9).cast("decimal(10,0)"))
+    return F.try_add((number.cast("decimal(18,0)") * unit.cast("decimal(18,0)")).cast(_NANOS), below.cast(_NANOS))
 
 
 def duration_micros(text: Column | str) -> Column:
-    """Parse normalised duration text to microseconds (BIGINT); null if it is
-    invalid or longer than a BIGINT holds."""
-    t = _col(text)
-    ok = t.rlike(DURATION_PATTERN)
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(t, DURATION_PATTERN, i)
-
-    def num(i: int) -> Column:
-        # a part that is not there is '' and counts as 0; one that is too long is null
-        return F.when(part(i) == "", F.lit(0).cast("long")).otherwise(part(i).try_cast("long"))
-
-    def times(i: int, unit: int) -> Column:
-        return F.try_multiply(num(i), F.lit(unit).cast("long"))
-
-    total = F.coalesce(F.rpad(part(6), 6, "0").try_cast("long"), F.lit(0).cast("long"))
-    for term in (
-        times(2, 24 * MICROS_PER_HOUR),
-        times(3, MICROS_PER_HOUR),
-        times(4, MICROS_PER_MINUTE),
-        times(5, MICROS_PER_SECOND),
-    ):
-        total = F.try_add(total, term)
-    signed = F.when(part(1) == "-", -total).otherwise(total)
-    return F.when(ok, signed)
+    """Normalised duration text to microseconds (BIGINT); null if it is none, or
+    longer than a BIGINT holds.
+
+    Accepted are clock text ('25:00:00', '-1:30:00.5'), amounts with units in any
+    order and number ('1h30m', '90 min', '1.5 hours', '2 days 3 hours'), both
+    together ('1 days 02:00:00') and ISO 8601 ('PT1H30M'). Blanks, commas and plus signs
+    between them do not count; a leading minus covers the units, or the clock where
+    there are none. A bare number means nanoseconds, too few to show.
+    """
+    raw = _col(text)
+    t = F.translate(raw, " ,+", "")
+
+    def second(n: int) -> Column:
+        return F.lit(n * 10**9).cast("long")
+
+    def clock_part(source: Column, pattern: str, i: int, unit: int, fraction: int | None = None) -> Column:
+        below = F.regexp_extract(source, pattern, fraction) if fraction else F.lit("")
+        return _amount(F.regexp_extract(source, pattern, i), below, second(unit))
+
+    def total(*terms: Column) -> Column:
+        out = terms[0]
+        for term in terms[1:]:
+            out = F.try_add(out, term)
+        return out
+
+    rest = F.regexp_replace(t, AMOUNT_PATTERN, "")
+    words, fractions, units = (F.regexp_extract_all(t, F.lit(AMOUNT_PATTERN), F.lit(i)) for i in (1, 2, 3))
+    numbers = F.zip_with(words, fractions, lambda w, f: F.struct(w.alias("w"), f.alias("f")))
+    amounts = F.zip_with(numbers, units, lambda n, u: _amount(n["w"], n["f"], _units_of(u)))
+    in_units = F.aggregate(amounts, F.lit(0).cast(_NANOS), lambda a, x: F.try_add(a, x).cast(_NANOS))
+    clock = total(clock_part(rest, CLOCK_PATTERN, 2, 3600), clock_part(rest, CLOCK_PATTERN, 3, 60), clock_part(rest, CLOCK_PATTERN, 4, 1, 5))
+    minus = F.when(t.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    mixed = F.when(
+        rest.rlike(CLOCK_PATTERN) & (~rest.startswith("-") | t.startswith("-")),
+        total((minus * in_units).cast(_NANOS), clock),
+    )
+    iso = total(*[clock_part(raw, ISO_PATTERN, i, n) for i, n in ((2, 604800), (3, 86400), (4, 3600), (5, 60))], clock_part(raw, ISO_PATTERN, 6, 1, 7))
+    iso_minus = F.when(raw.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("decimal(1,0)")
+    nanos = (
+        F.when(t.rlike(r"^-?\d+:"), F.when(t.rlike(CLOCK_PATTERN), (minus * clock).cast(_NANOS)))  # units unseen: most texts
+        .when(raw.rlike(ISO_PATTERN) & raw.rlike(r"\d"), (iso_minus * iso).cast(_NANOS))
+        .when(t.rlike(r"^-?\d+$"), F.lit(0).cast(_NANOS))
+        .when(F.size(units) > 0, mixed)
+    )
+    micros = F.floor(F.abs(nanos) / F.lit(1000).cast("decimal(4,0)")) * F.signum(nanos).cast("decimal(1,0)")
+    return micros.try_cast("long")
 
 
 def micros_to_hours(micros: Column) -> Column:

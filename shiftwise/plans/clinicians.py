@@ -20,15 +20,22 @@ from shiftwise.functions.exprs import (
     in_month,
     micros_between,
     money,
+    month_bounds,
     pct2,
     to_double,
 )
 from shiftwise.operators.consult_stats import MICROS, consultation_stats
-from shiftwise.sources.tables import Tables
+from shiftwise.operators.numbering import number_by_range
+from shiftwise.sources.tables import LOGIN_MONTH, MIXED_MONTH, Tables
 
 HOURS = "decimal(14,6)"  # durationdecimal as an exact operand
 
 
+def _month_key(month) -> str:
+    first, _ = month_bounds(month)
+    return f"{first.year:04d}-{first.month:02d}"
+
+
 def month_shifts(t: Tables, month, personid: int | None = None) -> DataFrame:
     """Shifts logged in during ``month`` with login and logout recorded.
 
@@ -38,13 +45,20 @@ def month_shifts(t: Tables, month, personid: int | None = None) -> DataFrame:
     r = t.rotas.filter(
         in_month("truelogin", month) & F.col("truelogin").isNotNull() & F.col("truelogout").isNotNull()
     )
+    if LOGIN_MONTH in r.columns:  # a layout by months: other folders are not read
+        r = r.filter(F.col(LOGIN_MONTH) == _month_key(month))
     if personid is not None:
         r = r.filter(F.col("personid") == F.lit(personid).cast("long"))
     return r
 
 
-def _counted_consultations(t: Tables) -> DataFrame:
-    return t.consultations.filter(F.col("cons_type").isin(*config.COUNTED_TYPES)).select(
+def _counted_consultations(t: Tables, month) -> DataFrame:
+    """Consultations of the counted types that can belong to a shift of ``month``
+    (of all months where the layout does not tell)."""
+    cons = t.consultations
+    if LOGIN_MONTH in cons.columns:
+        cons = cons.filter(F.col(LOGIN_MONTH).isin(_month_key(month), MIXED_MONTH))
+    return cons.filter(F.col("cons_type").isin(*config.COUNTED_TYPES)).select(
         "rslid",
         "caseno",
         "cons_type",
@@ -115,7 +129,7 @@ def _cost_by_name(shift_totals: DataFrame) -> DataFrame:
 
 def _consultation_stats_by_name(t: Tables, month) -> DataFrame:
     shifts = month_shifts(t, month).select("rslid", "personid").join(_named_users(t), "personid")
-    rows = _counted_consultations(t).join(shifts.select("rslid", "clinician_name"), "rslid")
+    rows = _counted_consultations(t, month).join(shifts.select("rslid", "clinician_name"), "rslid")
     return consultation_stats(rows, ["clinician_name"])
 
 
@@ -150,9 +164,21 @@ def consultation_stats_month(t: Tables, month) -> DataFrame:
     )
 
 
-def clinician_month(t: Tables, month) -> DataFrame:
+def _busiest_first(collation: str) -> list:
+    return [F.col("total_shifts").desc(), F.collate("clinician_name", collation).asc_nulls_last()]
+
+
+def clinician_ranking(t: Tables, month, collation: str = config.NAME_COLLATION) -> DataFrame:
+    """Place of each clinician in the table of ``month``: most shifts first, then by
+    name in ``collation``. Numbered by ranges, so no task sorts all names."""
+    totals = _shift_totals(t, month).select("clinician_name", "personid", "total_shifts")
+    order = [*_busiest_first(collation), F.col("clinician_name").asc_nulls_last(), F.col("personid").asc_nulls_last()]
+    return number_by_range(totals, order, out="place")
+
+
+def clinician_month(t: Tables, month, collation: str = config.NAME_COLLATION) -> DataFrame:
     """The all-clinician table of ``month``: shift totals joined with
-    consultation statistics by clinician name, busiest first."""
+    consultation statistics by clinician name, busiest first, then by name in ``collation``."""
     # persons per name over the shift totals (one row per person, so the
     # window groups are tiny) replaces a second aggregate and join
     sh = _shift_totals(t, month).withColumn(
@@ -162,7 +188,7 @@ def clinician_month(t: Tables, month) -> DataFrame:
     j = sh.join(cs, "clinician_name").withColumn(
         "name_total_cost", _unique_name_cost("_persons", "total_cost")
     )
-    return j.orderBy(F.col("total_shifts").desc(), F.col("clinician_name")).select(
+    return j.orderBy(*_busiest_first(collation)).select(
         "personid",
         "clinician_name",
         to_double(F.col("total_cost")).alias("total_cost"),
@@ -191,7 +217,7 @@ def _shift_stats(t: Tables, month, personid: int | None = None) -> DataFrame:
     shifts = month_shifts(t, month, personid).select("rslid")
     # dealt by (shift, case): without this exchange the first aggregate would
     # take the join's partitioning, and a hot shift could not be split
-    rows = _counted_consultations(t).join(shifts, "rslid").repartition("rslid", "caseno")
+    rows = _counted_consultations(t, month).join(shifts, "rslid").repartition("rslid", "caseno")
     return consultation_stats(rows, ["rslid"])
 
 

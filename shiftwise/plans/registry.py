@@ -12,7 +12,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from shiftwise.plans import cases, clinicians, hourly, rosters
+from shiftwise.functions.coercion import coerce_dates
+from shiftwise.plans import cases, clinicians, hourly, rosters, stored
+from shiftwise.sources.fixtures import rota_date_texts, with_text_forms
 from shiftwise.sources.tables import Tables
 
 # Default arguments of the registered reports.
@@ -55,4 +57,19 @@ REPORTS: dict[str, Callable[[Tables], DataFrame]] = {
     "adastra_options": lambda t: rosters.adastra_options(t),
     "duration_hours": lambda t: rosters.duration_hours(t),
     "daily_role_hours_cost": lambda t: rosters.daily_role_hours_cost(t, HOURLY_START, HOURLY_END),
+    "clinician_ranking": lambda t: clinicians.clinician_ranking(t, MONTH),
+    "clinician_month_layout": lambda t: stored.clinician_month_layout(t, MONTH),
+    "shift_detail_layout": lambda t: stored.shift_detail_layout(t),
+    "calls_by_hour_snapshot": lambda t: stored.calls_by_hour_snapshot(t, CALLS_START, CALLS_END),
+    "calls_by_hour_stored": lambda t: stored.calls_by_hour_stored(t, CALLS_START, CALLS_END),
+    "hourly_activity_stored": lambda t: stored.hourly_activity_stored(t, HOURLY_START, HOURLY_END),
+    "call_agents_daily": lambda t: stored.call_agents_daily(t, CALLS_START, CALLS_END),
+    "sql_shift_detail": lambda t: stored.by_sql(t, "SELECT * FROM shift_detail(:shift)", shift=None),
+    "sql_call_stats_hourly": lambda t: stored.by_sql(t, "SELECT * FROM call_stats_hourly(:a, :z)", a=HOURLY_START, z=HOURLY_END),
+    "sql_daily_role_hours_cost": lambda t: stored.by_sql(
+        t, "SELECT * FROM daily_role_hours_cost(:a, :z)", a=HOURLY_START, z=HOURLY_END
+    ),
+    "duration_hours_forms": lambda t: rosters.duration_hours(with_text_forms(t)),
+    "rota_dates_coerced": lambda t: coerce_dates(rota_date_texts(t), "date"),
+    "coercion_losses": lambda t: rosters.coercion_losses(t, HOURLY_START, HOURLY_END),
 }

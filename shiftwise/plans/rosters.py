@@ -3,7 +3,7 @@ lists and the daily hours and cost by role."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shiftwise import config
@@ -15,10 +15,12 @@ from shiftwise.functions.exprs import (
     money,
     month_label,
     normalise_duration,
+    nullif_blank,
     ntz_lit,
     to_double,
 )
-from shiftwise.operators.numbering import number_within
+from shiftwise.functions.coercion import observe_losses
+from shiftwise.operators.numbering import number_by_range, number_within
 from shiftwise import schemas
 from shiftwise.sources.tables import Tables
 
@@ -79,19 +81,30 @@ def month_options(t: Tables) -> DataFrame:
     return head.unionByName(listed)
 
 
-def adastra_options(t: Tables) -> DataFrame:
-    """Clinician login-name choices with '(All)', sorted as text (index from 0)."""
+def adastra_options(t: Tables, collation: str | None = None) -> DataFrame:
+    """Clinician login-name choices with '(All)', sorted as text (index from 0):
+    by code point, or in ``collation``."""
     names = rotas_clinicians(t).select("adastra").filter(F.col("adastra").isNotNull()).distinct()
     head = t.rotas.sparkSession.range(1).select(F.lit(config.ALL_OPTION).alias("adastra"))
     options = head.unionByName(names)
-    numbered = number_within(options, [], [F.col("adastra").asc()], [F.substring("adastra", 1, 2)], out="option_index")
+    order = [F.collate("adastra", collation).asc()] if collation else []
+    numbered = number_by_range(options, [*order, F.col("adastra").asc()], out="option_index")
     return numbered.select((F.col("option_index") - 1).alias("option_index"), "adastra")
 
 
-def duration_hours(t: Tables) -> DataFrame:
+def _with_losses(rows: DataFrame, losses: Observation | None) -> DataFrame:
+    """Counts, where asked for, the durations and costs that are there but do not parse."""
+    if losses is None:
+        return rows
+    micros = duration_micros(normalise_duration("duration"))
+    coerced = {"duration": (F.col("duration"), micros), "value": (F.col("value"), nullif_blank("value"))}
+    return observe_losses(rows, coerced, losses)
+
+
+def duration_hours(t: Tables, losses: Observation | None = None) -> DataFrame:
     """Rota duration text normalised to H:MM:SS and converted to hours
-    (null when it does not parse)."""
-    rc = rotas_clinicians(t)
+    (null when it does not parse; ``losses`` counts these)."""
+    rc = _with_losses(rotas_clinicians(t), losses)
     text = normalise_duration("duration")
     return rc.select(
         "rslid",
@@ -101,18 +114,28 @@ def duration_hours(t: Tables) -> DataFrame:
     )
 
 
-def daily_role_hours_cost(t: Tables, start, end) -> DataFrame:
+def daily_role_hours_cost(t: Tables, start, end, losses: Observation | None = None) -> DataFrame:
     """Hours and cost per (rota date, role) for dates ``start <= date <= end``.
 
     Missing hours or costs are skipped (a group of only missing values sums
     to 0); rows without a date or role are left out. Hours are summed as
-    exact microseconds and converted once.
+    exact microseconds and converted once. ``losses`` counts the values of these
+    rows that are there but do not parse.
     """
     rc = rotas_clinicians(t).filter(
         (F.col("date") >= ntz_lit(start)) & (F.col("date") <= ntz_lit(end)) & F.col("role").isNotNull()
     )
+    rc = _with_losses(rc, losses)
     micros = duration_micros(normalise_duration("duration"))
     return rc.groupBy("date", "role").agg(
         micros_to_hours(F.coalesce(F.sum(micros), F.lit(0))).alias("total_hours"),
         to_double(F.coalesce(F.sum(money("value")), F.lit(0).cast(MONEY))).alias("total_cost"),
     )
+
+
+def coercion_losses(t: Tables, start, end) -> DataFrame:
+    """Per column, the values that ``daily_role_hours_cost`` loses to coercion in the
+    date range, counted while the report itself is computed."""
+    losses = Observation("coercion")
+    daily_role_hours_cost(t, start, end, losses).write.format("noop").mode("overwrite").save()
+    return t.rotas.sparkSession.createDataFrame(sorted(losses.get.items()), "column_name string, n_lost long")

@@ -179,6 +179,33 @@ def derive_phone_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_text_forms(t: Tables) -> Tables:
+    """Tables whose rota durations are written in eight forms by shift id: units,
+    fractions, ISO 8601, days, minus, and one that names no unit."""
+    k = F.col("rslid")
+    minutes = (F.lit(240) + F.lit(30) * (k % 17)).cast("int")
+    h, m = F.floor(minutes / 60).cast("int"), minutes % 60
+    forms = (
+        F.format_string("%dh%dm", h, m),
+        F.format_string("%d min", minutes),
+        F.concat(h.cast("string"), F.when(m == 30, F.lit(".5")).otherwise(F.lit("")), F.lit(" hours")),
+        F.format_string("PT%dH%dM", h, m),
+        F.format_string("1 days %02d:%02d:00", h, m),
+        F.format_string("-%d minutes", minutes),
+        F.format_string("%d fortnights", minutes),
+        F.format_string("%d hr, %d minutes", h, m),
+    )
+    form = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
+    return t.with_tables(rotas=t.rotas.withColumn("duration", form))
+
+
+def rota_date_texts(t: Tables) -> DataFrame:
+    """(rslid, date): rota dates as text, most of them day first, some ISO, some none."""
+    k = F.col("rslid")
+    text = F.when(k % 97 == 0, F.lit("n/a")).when(k % 10 == 0, F.date_format("date", "yyyy-MM-dd")).otherwise(F.date_format("date", "dd/MM/yyyy"))
+    return t.rotas.select("rslid", text.alias("date"))
+
+
 def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All six operational tables derived from the benchmark tables at ``sf_dir``."""
     return Tables.from_frames(

@@ -12,13 +12,18 @@ from shiftwise import schemas
 
 TABLE_NAMES = tuple(schemas.ALL)
 
+#: Column of a layout by months: the login month of a row's shift.
+LOGIN_MONTH = "login_month"
+NO_MONTH = "none"  # no shift, or one without a login
+MIXED_MONTH = "mixed"  # a shift id listed in several months
+
 
 def conform(df: DataFrame, schema: StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: same names, order and types.
 
     Missing columns become typed nulls, and so do texts in a time column that
     are no time; extra columns are dropped (so column
-    pruning still reaches the scan).
+    pruning still reaches the scan), but for the month of a layout by months.
     """
     present = {c.lower(): c for c in df.columns}
     cols = []
@@ -29,7 +34,7 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
         dated = src and isinstance(df.schema[src].dataType, StringType) and isinstance(field.dataType, (DateType, TimestampNTZType))
         cast = value.try_cast if dated else value.cast
         cols.append(cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    return df.select(*cols, *[LOGIN_MONTH for c in present if c == LOGIN_MONTH])
 
 
 @dataclass(frozen=True)
