@@ -28,9 +28,14 @@ def _typed(types: tuple[str, ...]) -> Column:
     return F.col("cons_type").isin(*types)
 
 
-def consultation_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
+def consultation_stats(rows: DataFrame, keys: list[str], joined_on: str | None = None) -> DataFrame:
     """``rows``: keys + caseno, cons_type, next_cons_type, _micros (end - begin).
 
+    ``joined_on`` names a BIGINT key by which ``rows`` come dealt from a join. Phase
+    one would take that dealing over, one task to a hot key; it groups by the key's
+    complement instead, so it combines in the join's tasks, deals only combined rows by
+    (key, case), and leaves the join free to split a hot key.
+
     Returns per key (DECIMAL where rounded):
     n_cases, consultation_hours, advice_count, treatment_centre_count,
     visit_count, same_advice_count, avg_advice_triage_mins,
@@ -38,6 +43,8 @@ def consultation_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
     """
     advice = _typed(config.ADVICE_TYPES)
     stays_advice = advice & F.col("next_cons_type").isin(*config.ADVICE_TYPES)
+    if joined_on:
+        rows = rows.withColumn(joined_on, F.bitwise_not(joined_on))
     per_case = rows.groupBy(*keys, "caseno").agg(
         F.sum(MICROS).alias("micros"),
         _flag(advice).alias("is_advice"),
@@ -57,6 +64,8 @@ def consultation_stats(rows: DataFrame, keys: list[str]) -> DataFrame:
             )
         ],
     )
+    if joined_on:
+        per_case = per_case.withColumn(joined_on, F.bitwise_not(joined_on))
     case = F.col("caseno").isNotNull()
 
     def cases_with(flag: str) -> Column:

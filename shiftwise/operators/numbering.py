@@ -30,18 +30,25 @@ _PLACE_BITS = 33  # of monotonically_increasing_id: the row's place in its parti
 
 
 def number_within(
-    df: DataFrame, keys: list[str], order: list[Column], slices: list[Column], out: str = "row_no"
+    df: DataFrame,
+    keys: list[str],
+    order: list[Column],
+    slices: list[Column],
+    out: str = "row_no",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """``df`` plus ``out`` = 1-based row number per ``keys`` group in ``order``.
 
     ``order`` are sort expressions (e.g. ``F.col("t").asc_nulls_last()``);
     ``slices`` ascend with the order; ``keys`` may be empty for one global
-    numbering.
+    numbering. ``counts``, where the caller has a cheaper way to them than counting
+    ``df``, are the rows ``_n`` per keys and slices (``_slice0``, ``_slice1`` ...).
     """
     names = [f"_slice{i}" for i in range(len(slices))]
     sliced = df.select("*", *[c.alias(n) for c, n in zip(slices, names)])
     within = F.row_number().over(Window.partitionBy(*keys, *names).orderBy(*order))
-    counts = sliced.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = sliced.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         *[F.col(c).alias(f"_k{c}") for c in [*keys, *names]], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")

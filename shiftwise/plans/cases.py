@@ -267,6 +267,32 @@ def case_header(t: Tables, caseno: int | None = None) -> DataFrame:
     )
 
 
+def _begin_hour() -> list:
+    """Slices of a case: the hours in which its consultations begin, missing last."""
+    return [F.col("cons_begin_time").isNull(), hour_floor("cons_begin_time")]
+
+
+def _rows_per_hour(t: Tables, caseno: int | None) -> DataFrame:
+    """Rows of ``_case_rows`` per case and hour, from counts of the tables: case rows
+    x its surveys x its consultations of the hour, each as often as its clinician is listed."""
+
+    def per_case(df: DataFrame, out: str) -> DataFrame:
+        return _keyed(df, "caseno", caseno).groupBy("caseno").agg(F.count(F.lit(1)).alias(out))
+
+    listed = t.users.filter(F.col("adastra").isNotNull()).groupBy(F.col("adastra").alias("_name")).agg(F.count(F.lit(1)).alias("_listed"))
+    isnull, hour = _begin_hour()
+    cons = _keyed(t.consultations, "caseno", caseno).select("caseno", "cons_clinicians_name", isnull.alias("_slice0"), hour.alias("_slice1"))
+    named = cons.join(listed, F.col("cons_clinicians_name") == F.col("_name"), "left")
+    hours = named.groupBy("caseno", "_slice0", "_slice1").agg(F.sum(F.coalesce("_listed", F.lit(1))).alias("_cons"))
+    copies = per_case(t.cases, "_cases").join(per_case(t.surveys, "_surveys"), "caseno", "left")
+    return copies.join(hours, "caseno", "left").select(
+        "caseno",
+        F.coalesce("_slice0", F.lit(True)).alias("_slice0"),
+        "_slice1",
+        (F.col("_cases") * F.coalesce("_surveys", F.lit(1)) * F.coalesce("_cons", F.lit(1))).alias("_n"),
+    )
+
+
 def case_consultations(t: Tables, caseno: int | None = None) -> DataFrame:
     """One row per consultation entry of the case page, numbered in
     consultation order. ``consultation_type`` is the case's received type
@@ -296,9 +322,9 @@ def case_consultations(t: Tables, caseno: int | None = None) -> DataFrame:
             "survey_comments",
         )
     ]
-    # slices of a case: the hours in which its consultations begin, missing last
-    hour = [F.col("cons_begin_time").isNull(), hour_floor("cons_begin_time")]
-    numbered = number_within(rows, ["caseno"], order, hour, out="consultation_no")
+    numbered = number_within(
+        rows, ["caseno"], order, _begin_hour(), out="consultation_no", counts=_rows_per_hour(t, caseno)
+    )
     if caseno is not None:
         numbered = numbered.orderBy("consultation_no")
     return numbered

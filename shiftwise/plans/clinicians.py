@@ -215,10 +215,8 @@ def clinician_month(t: Tables, month, collation: str = config.NAME_COLLATION) ->
 
 def _shift_stats(t: Tables, month, personid: int | None = None) -> DataFrame:
     shifts = month_shifts(t, month, personid).select("rslid")
-    # dealt by (shift, case): without this exchange the first aggregate would
-    # take the join's partitioning, and a hot shift could not be split
-    rows = _counted_consultations(t, month).join(shifts, "rslid").repartition("rslid", "caseno")
-    return consultation_stats(rows, ["rslid"])
+    rows = _counted_consultations(t, month).join(shifts, "rslid")
+    return consultation_stats(rows, ["rslid"], joined_on="rslid")
 
 
 def shift_consultation_stats(t: Tables, month, personid: int | None = None) -> DataFrame:

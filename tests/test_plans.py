@@ -76,3 +76,15 @@ def test_hot_shift_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_shift_statistics_combine_before_they_are_dealt(spark, small_tables):
+    """Raw rows are not dealt by (shift, case): only what the join's tasks combined is."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(clinicians.shift_consultation_stats(small_tables, datetime(2024, 1, 1)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = text.splitlines()
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line and "caseno" in line]
+    assert len(dealt) == 1 and "partial_" in lines[dealt[0] + 1] and "REPARTITION" not in text
