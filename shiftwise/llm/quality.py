@@ -1,14 +1,18 @@
 """Quality rules with risk-controlled thresholds.
 
 Every rule is a score of a text (higher is worse) with a fixed grid of
-cutoffs. On a labelled holdout, the documents of good quality above a cutoff
-are false rejections. For each rule, stratum (language) and cutoff the exact
-binomial test asks whether the false rejection rate is at most the rule's
-share of ``risk``; Holm's step-down correction over all these tests bounds the
-chance of any wrong certificate by ``delta``. Each rule and stratum then uses
-its strictest certified cutoff, or none. So, with probability 1 - delta, at
-most a share ``risk`` of the good documents of any stratum is rejected by the
-thresholds. The fixed base rules reject first.
+cutoffs from lenient to strict. The grids together make one path of ``STEPS`` steps:
+each step is a cutoff for every rule, none more lenient than the step before. On a labelled
+holdout, the documents of good quality that any cutoff of a step rejects are its false
+rejections, and the exact binomial test asks whether their rate is at most
+``risk``. A stratum (language) walks the path from its lenient end and stops before the
+first step whose test fails: a fixed sequence, so each step is tested at the whole
+level of the stratum. The levels share ``delta`` by Holm's step-down: a stratum
+that passes the whole path hands its level on to the others. So, with
+probability 1 - delta, in no stratum more than a share ``risk`` of the good
+documents is rejected by the last step it passed. The fixed base rules reject first.
+Strata with too few good documents to pass any step are not tested, which their
+number alone decides.
 
 Only built-in functions are used. Base counts are made inside the row by array
 functions, whatever its length. Every language is certified by its own labelled
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,21 +43,30 @@ _WINDOW = 5
 #: A stratum that ``thresholds`` never has: no language shares the cutoffs of others.
 POOLED = "*"
 
+#: rule -> cutoffs from lenient to strict
+GRIDS: dict[str, tuple[float, ...]] = {
+    "symbols": (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
+    "repeats": (0.2, 0.15, 0.1),
+    "lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
+    "long_words": (40.0, 30.0, 20.0, 15.0, 12.0, 10.0),
+    "short_words": (-1.0, -1.5, -2.0, -2.5, -3.0),
+    "capitals": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
+}
+
+
 def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
     """rule -> (score over the base counts, cutoffs from lenient to strict)."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     lines = F.greatest(F.col("n_lines"), F.lit(1)).cast("double")
-    return {
-        "symbols": (F.col("n_symbols") / words, (1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1)),
-        "repeats": (F.col("n_repeat_words") / words, (0.2, 0.15, 0.1)),
-        "lines": (F.col("n_dup_lines") / lines, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-        "long_words": (F.col("word_chars") / words, (40.0, 30.0, 20.0, 15.0, 12.0, 10.0)),
-        "short_words": (-F.col("word_chars") / words, (-1.0, -1.5, -2.0, -2.5, -3.0)),
-        "capitals": (
-            F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
-            (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
-        ),
+    scores = {
+        "symbols": F.col("n_symbols") / words,
+        "repeats": F.col("n_repeat_words") / words,
+        "lines": F.col("n_dup_lines") / lines,
+        "long_words": F.col("word_chars") / words,
+        "short_words": -F.col("word_chars") / words,
+        "capitals": F.col("n_capitals") / F.greatest(F.col("word_chars"), F.lit(1)).cast("double"),
     }
+    return {name: (score, GRIDS[name]) for name, score in scores.items()}
 
 
 @dataclass(frozen=True)
@@ -167,15 +181,21 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k.cast("double") >= n.cast("double") * rate, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(first) * walked))
 
 
+STEPS = 10
+
+
+def path() -> list[dict[str, float]]:
+    """A cutoff for every rule, from lenient to strict."""
+    return [{name: cuts[s * len(cuts) // STEPS] for name, cuts in GRIDS.items()} for s in range(STEPS)]
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """(stratum, a column per rule): the strictest certified cutoff, null where
-    none is; a row per language with enough good documents to certify anything.
+    """(stratum, a column per rule): the cutoffs of the strictest certified step,
+    null where there is none; a row per language with enough good documents.
 
     ``counts`` has doc_id, lang and the base counts.
     """
-    scored = rules()
-    tests_of = [(name, i, float(c)) for name, (_, cuts) in scored.items() for i, c in enumerate(cuts)]
-    share = risk.risk / len(scored)
+    steps, scores = path(), {name: score for name, (score, _) in rules().items()}
     good = (
         labels.select(field(labels, "doc_id", "long"), field(labels, "quality", "int"))
         .dropna()
@@ -185,38 +205,35 @@ def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
         .select(F.col("doc_id").alias("l_id"))
     )
     held = counts.filter(~base_failed()).join(good, F.col("doc_id") == F.col("l_id"))
-    # with fewer good documents than this no cutoff passes, even without a false rejection
-    least = math.ceil(math.log(risk.delta / len(tests_of)) / math.log1p(-share))
-    per_stratum = (
-        held.groupBy(F.col("lang").alias("stratum"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum((scored[name][0] > c).cast("long")).alias(f"{name} {i}") for name, i, c in tests_of],
-        )
-        .filter(F.col("n") >= least)
+
+    def rejected(step: dict[str, float]) -> Column:
+        return reduce(lambda a, b: a | b, [scores[name] > cut for name, cut in step.items()])
+
+    per_stratum = held.groupBy(F.col("lang").alias("stratum")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(rejected(step)).alias(f"k{i}") for i, step in enumerate(steps)]
+    )
+    # from here on a row or STEPS rows a language. Of the m largest strata each can pass
+    # a step at delta / m: the largest such m is tested
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("stratum")))
+    least = F.log(F.lit(risk.delta) / place) / math.log1p(-risk.risk)
+    sized = per_stratum.select("*", place.alias("place"), F.when(F.col("n") >= least, place).alias("able"))
+    tested = sized.withColumn("m", F.max("able").over(Window.partitionBy(F.lit(0)))).filter(F.col("place") <= F.col("m"))
+    p = F.array(*[binomial_tail(F.col("n"), F.col(f"k{i}"), risk.risk) for i in range(STEPS)])
+    # Holm over whole paths: the i-th least of their largest p against delta / (m - i + 1)
+    order = Window.orderBy("worst", "stratum")
+    walked = tested.select("stratum", "m", p.alias("p"), F.array_max(p).alias("worst"))
+    fails = (F.col("worst") > F.lit(risk.delta) / (F.col("m") - F.row_number().over(order) + 1)).cast("int")
+    ranked = walked.withColumn("fails", fails)
+    ranked = ranked.withColumn("failed", F.sum("fails").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    done = F.sum((F.col("failed") == 0).cast("int")).over(Window.partitionBy(F.lit(0)))
+    level = F.lit(risk.delta) / F.greatest(F.col("m") - done, F.lit(1))
+    first = F.array_position(F.transform("p", lambda x: x > F.col("_level")), F.lit(True))  # 0: none fails
+    passed = ranked.withColumn("_level", level).select(
+        "stratum", F.when((F.col("failed") == 0) | (first == 0), STEPS).otherwise(first - 1).cast("int").alias("passed")
     )
-    tests = per_stratum.select(
+    return passed.select(
         "stratum",
-        "n",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(name).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"`{name} {i}`").alias("k"))
-                    for name, i, c in tests_of
-                ]
-            )
-        ).alias("t"),
-    ).select("stratum", "t.rule", "t.cutoff", binomial_tail(F.col("n"), F.col("t.k"), share).alias("p"))
-    # Holm: in order of p, the i-th of m tests passes while all up to it have
-    # p <= delta / (m - i + 1); as many rows meet here as there are tests, for
-    # each language with ``least`` good labelled documents
-    order = Window.orderBy("p", "stratum", "rule", "cutoff")
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    ranked = tests.select("*", m.alias("m"), F.row_number().over(order).alias("i"))
-    fails = (F.col("p") > F.lit(risk.delta) / (F.col("m") - F.col("i") + 1)).cast("int")
-    passed = ranked.withColumn("failed", F.sum(fails).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return passed.groupBy("stratum").agg(
-        *[F.min(F.when((F.col("rule") == name) & (F.col("failed") == 0), F.col("cutoff"))).alias(name) for name in scored]
+        *[F.try_element_at(F.array(*[F.lit(s[name]) for s in steps]), F.nullif("passed", F.lit(0))).alias(name) for name in scores],
     )
 
 

@@ -61,7 +61,12 @@ def op6_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures, entries = url_lists.reported(read_table(spark, sf_dir, "pages"))
     return url_lists.evaluate(captures, entries).select(
-        F.col("id").alias("page_id"), F.to_date("fetched").alias("fetched"), "blocked", "n_active", "entry_key", "valid_from"
+        F.col("id").alias("page_id"),
+        F.to_date("fetched").alias("fetched"),
+        "blocked",
+        "n_active",
+        "entry_key",
+        F.to_date("valid_from").alias("valid_from"),
     )
 
 
@@ -110,7 +115,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
+_STEPS = ", ".join(f"({i}, {', '.join(str(c) for c in step.values())})" for i, step in enumerate(quality.path()))
+_REJECTED = "symbols > c_symbols OR repeats > c_repeats OR lines > c_lines OR long_words > c_long OR short_words > c_short OR capitals > c_capitals"
+
 ORACLE: dict[str, str] = {
+    "op6_risk_controlled_quality": rf"""
+        WITH texts AS (SELECT row_number() OVER () AS row_no, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        split AS (
+            SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS own_lines
+            FROM texts),
+        windows AS (
+            SELECT row_no, i, words[i:i + 4] AS win FROM (SELECT row_no, words, unnest(range(1, len(words) - 3)) AS i FROM split)),
+        again AS (SELECT row_no, i FROM windows QUALIFY count(*) OVER (PARTITION BY row_no, win) > 1),
+        covered AS (SELECT row_no, count(DISTINCT i + k) AS n_repeat_words FROM again, range(5) AS t(k) GROUP BY row_no),
+        counts AS (
+            SELECT row_no, doc_id, lang, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
+                   len(own_lines) AS n_lines, len(own_lines) - len(list_distinct(own_lines)) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM split LEFT JOIN covered USING (row_no)),
+        scores AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+                   n_symbols / greatest(n_words, 1)::DOUBLE AS symbols, n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeats,
+                   n_dup_lines / greatest(n_lines, 1)::DOUBLE AS lines, word_chars / greatest(n_words, 1)::DOUBLE AS long_words,
+                   -word_chars / greatest(n_words, 1)::DOUBLE AS short_words, n_capitals / greatest(word_chars, 1)::DOUBLE AS capitals
+            FROM counts),
+        steps(step, c_symbols, c_repeats, c_lines, c_long, c_short, c_capitals) AS (VALUES {_STEPS}),
+        good AS (
+            SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+        tried AS (
+            SELECT lang, step, count(*) AS n, count(*) FILTER ({_REJECTED}) AS k
+            FROM scores JOIN good USING (doc_id), steps WHERE NOT base_failed GROUP BY lang, step),
+        tails AS (
+            SELECT *, CASE WHEN k >= n * 0.01 THEN 1 ELSE list_sum(list_transform(range(k + 1), lambda i:
+                       exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) END AS p
+            FROM tried),
+        sizes AS (SELECT lang, row_number() OVER (ORDER BY any_value(n) DESC, lang NULLS FIRST) AS place, any_value(n) AS n FROM tails GROUP BY lang),
+        able AS (SELECT coalesce(max(place) FILTER (n >= ln(0.05 / place) / ln(0.99)), 0) AS m FROM sizes),
+        walks AS (
+            SELECT t.lang, max(p) AS worst, list(p ORDER BY step) AS ps, any_value(m) AS m,
+                   row_number() OVER (ORDER BY max(p), t.lang NULLS FIRST) AS i
+            FROM tails t JOIN sizes s ON t.lang IS NOT DISTINCT FROM s.lang, able WHERE place <= m GROUP BY t.lang),
+        ended AS (SELECT coalesce(min(i) FILTER (worst > 0.05 / (m - i + 1)) - 1, count(*)) AS done FROM walks),
+        passed AS (
+            SELECT lang, CASE WHEN i <= done THEN len(ps) ELSE coalesce(
+                       list_min(list_filter(range(len(ps)), lambda x: ps[x + 1] > 0.05 / greatest(m - done, 1))), len(ps)) END AS passed
+            FROM walks, ended)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND NOT coalesce({_REJECTED}, false) AS kept
+        FROM scores LEFT JOIN (SELECT lang AS of_lang, steps.* FROM passed JOIN steps ON step = passed - 1) ON lang IS NOT DISTINCT FROM of_lang""",
     "op5_streaming_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         groups AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)

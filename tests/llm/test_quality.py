@@ -5,6 +5,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 from shiftwise.llm import quality as Q
+from shiftwise.llm.common import write_table
 from tests.llm.conftest import edge_rows, prose
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -75,46 +76,106 @@ def labelled(table):
     return table(rows), table(labels + labels[:5] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int"), rows, labels
 
 
-def test_thresholds_follow_holm(table):
-    docs, labels, rows, given = labelled(table)
-    risk = Q.Risk(risk=0.3, delta=0.05)
-    counts = Q.base_counts(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"])
-    got = Q.thresholds(counts, labels, risk)
-    scored = Q.rules()
-    scores = counts.filter(~Q.base_failed()).select("doc_id", "lang", *[s.alias(n) for n, (s, _) in scored.items()]).collect()
-    good = {i for i, q, _ in given if q == 1 and i != 3}
-    good.add(3)  # its other label has no quality and is void
-    share = risk.risk / len(scored)
-    n_tests = sum(len(c) for _, c in scored.values())
-    least = math.ceil(math.log(risk.delta / n_tests) / math.log1p(-share))
-    by = {}
-    for r in scores:
-        if r.doc_id in good:
-            by.setdefault(r.lang, []).append(r)
-    strata = {}
-    for lang, v in by.items():
-        strata.setdefault(lang if len(v) >= least else Q.POOLED, []).extend(v)
-    tests = []
-    for s, v in strata.items():
-        for name, (_, cuts) in scored.items():
-            for c in cuts:
-                k = sum(r[name] > c for r in v)
-                p = tail(len(v), k, share) if k < len(v) * share else 1.0
-                tests.append((p, s, name, c))
-    tests.sort()
-    want = {s: {} for s in strata if s != Q.POOLED}
-    for i, (p, s, name, c) in enumerate(tests):
-        if p > risk.delta / (len(tests) - i):
+def walked(strata, risk):
+    """Fixed sequences at levels shared by Holm: stratum -> steps passed.
+    ``strata``: stratum -> (good documents, those that each step rejects)."""
+    sizes = sorted(((n, s) for s, (n, _) in strata.items()), key=lambda x: (-x[0], x[1] is not None, x[1] or ""))
+    m = max([i for i, (n, _) in enumerate(sizes, 1) if (1 - risk.risk) ** n <= risk.delta / i], default=0)
+    p = {}
+    for n, s in sizes[:m]:
+        p[s] = [tail(n, k, risk.risk) if k < n * risk.risk else 1.0 for k in strata[s][1]]
+    passed, left = {}, set(p)
+    while True:  # a stratum that ends its path hands its level on
+        whole = [s for s in left if max(p[s]) <= risk.delta / len(left)]
+        if not whole:
             break
-        cut = want.setdefault(s, {})
-        cut[name] = min(c, cut.get(name, c))
-    assert got == want and got
-    kept = {r.doc_id: r.kept for r in Q.judge(docs, labels, risk).collect()}
+        least = min(whole, key=lambda s: max(p[s]))
+        passed[least] = len(p[least])
+        left.remove(least)
+    for s in left:
+        passed[s] = next((i for i, x in enumerate(p[s]) if x > risk.delta / len(left)), len(p[s]))
+    return passed
+
+
+def rejections(rows, good):
+    """rows: (doc_id, lang, {rule: score}) that pass the base rules."""
+    out = {}
+    for i, lang, scores in rows:
+        if i in good:
+            n, k = out.setdefault(lang, (0, [0] * Q.STEPS))
+            out[lang] = (n + 1, [x + any(scores[r] > c for r, c in step.items()) for x, step in zip(k, Q.path())])
+    return out
+
+
+def scores_of(counts):
+    scored = Q.rules()
+    rows = counts.filter(~Q.base_failed()).select("doc_id", "lang", *[s.alias(n) for n, (s, _) in scored.items()]).collect()
+    return [(r.doc_id, r.lang, {n: r[n] for n in scored}) for r in rows]
+
+
+def test_path_is_nested():
+    for a, b in zip(Q.path(), Q.path()[1:]):
+        assert all(b[r] <= a[r] for r in a)
+    assert len(Q.path()) == Q.STEPS
+
+
+def test_thresholds_walk_a_fixed_sequence(table):
+    docs, labels, _, given = labelled(table)
+    counts = write_table(Q.base_counts(docs.select("doc_id", "lang", "text"), ["doc_id", "lang"]), "counts")
+    for risk in (Q.Risk(risk=0.3, delta=0.05), Q.Risk(risk=0.03, delta=0.2), Q.Risk(risk=0.001)):
+        good = {i for i, q, _ in given if q == 1}  # the other label of 3 has no quality and is void
+        passed = walked(rejections(scores_of(counts), good), risk)
+        want = {s: dict(Q.path()[n - 1]) if n else {} for s, n in passed.items()}
+        assert Q.thresholds(counts, labels, risk) == want, risk
+    kept = {r.doc_id: r.kept for r in Q.judge(docs, labels, Q.Risk(0.3)).collect()}
     wrong = [i for i in good if i in kept and not kept[i]]
     assert len(wrong) <= 0.3 * len(good)
     assert not any(kept[i] for i, q, _ in given if q == 0)
 
 
+def test_levels_are_handed_on(spark):
+    """Synthetic counts of strata: the walk in Spark against the plain one."""
+    import random
+
+    rnd = random.Random(5)
+    for risk in (Q.Risk(0.05, 0.05), Q.Risk(0.1, 0.2)):
+        rows, labels = [], []
+        for s in range(12):
+            clean = rnd.choice([20, 80, 2000])
+            for _ in range(rnd.choice([5, 60, 120, 240, 480])):
+                symbols = rnd.choice([0.0] * clean + [0.12, 0.12, 0.22, 0.22, 0.35])
+                rows.append((len(rows), None if s == 0 else f"l{s}", 1000, 5000, int(symbols * 1000), 0, 10, 0, 0))
+                labels.append((len(rows) - 1, 1))
+        names = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_capitals long, n_lines long, n_dup_lines long, n_repeat_words long"
+        counts = write_table(spark.createDataFrame(rows, names), "counts")
+        passed = walked(rejections(scores_of(counts), {i for i, _ in labels}), risk)
+        want = {s: dict(Q.path()[n - 1]) if n else {} for s, n in passed.items()}
+        assert Q.thresholds(counts, spark.createDataFrame(labels, "doc_id long, quality int"), risk) == want
+        assert len(set(passed.values())) > 2
+
+
+def test_bound_holds_on_held_out_labels(spark):
+    """The given documents: English is certified by one half of its labels, and rejects
+    at most the risk in the other half, but most of the labelled junk."""
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(8)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    known = docs.join(labels.select(F.col("doc_id").alias("l"), "quality"), F.col("doc_id") == F.col("l")).select("doc_id", "lang", "text")
+    counts = write_table(Q.base_counts(known, ["doc_id", "lang"]), "held-out")
+    whole = Q.thresholds(counts, labels)
+    assert set(whole) >= {"en", "de", "fr"} and all(whole[s] for s in ("en", "de", "fr"))
+    cuts = Q.thresholds(counts, labels.filter(half == 0))["en"]
+    assert cuts
+    quality = {r["doc_id"]: r["quality"] for r in labels.filter(half == 1).collect()}
+    gone = {0: [], 1: []}
+    for i, lang, scores in scores_of(counts):
+        if lang == "en" and i in quality:
+            gone[quality[i]].append(any(scores[r] > c for r, c in cuts.items()))
+    assert len(gone[1]) > 500 and sum(gone[1]) <= 0.01 * len(gone[1])
+    assert sum(gone[0]) > 0.3 * len(gone[0])
+
+
 def test_keep_good(table, edge, empty, no_labels):
     docs, labels, *_ = labelled(table)
     kept = {r.doc_id for r in Q.judge(docs, labels, Q.Risk(0.3)).collect() if r.kept}
