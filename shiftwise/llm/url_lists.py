@@ -1,22 +1,26 @@
 """Temporal list join: captures against the list entries of their time.
 
-A dated list entry says that from a day on a key (a host, with all below it,
+A dated list entry says that from a moment on a key (a host, with all below it,
 or a host and path prefix) is blocked, allowed, or no longer listed. The
 entries of a key become validity intervals, each up to the next entry of the
 key. A capture has one key for its host, each parent host and each path
-prefix; an as-of join evaluates it against the intervals that hold at its
-fetch time. The most specific listed key decides: a longer path before a
-shorter one, a path before a host, a longer host before its parents.
-
-Entries of a key on the same day count as one (a block wins over an
-allowance, and both over a removal), so a key's entries are bounded by the
-days of the calendar. Its intervals do not overlap, so a capture's key meets
-one at most and the join adds no rows; a host that a third of all captures
-share is split by the skew join. Captures of the same URL and day are
+prefix (an address in numbers has no parents); an as-of join evaluates it
+against the intervals that hold at its fetch time. The most specific listed key
+decides: a longer path before a shorter one, a path before a host, a longer host
+before its parents.
+
+Entries of a key at the same moment count as one (a block wins over an
+allowance, and both over a removal). The intervals of a key do not overlap, so a capture's key meets
+one at most and the join adds no rows. So that a key with many intervals and many captures
+is not compared pair by pair, an interval is joined twice: by key for the whole
+days it covers, of which a key has as many as the calendar has days, and by key
+and day for the days that it begins or ends on. A host that a third of all captures
+share is split by the skew join. Captures of the same URL and moment are
 evaluated once. Path prefixes are made only to the depth of the deepest entry.
 
 Captures without a URL, host or fetch time meet no entry and are not blocked.
-Entries without key, action or day are void. Repeated rows and null ids each
+Entries without key, action or time are void. An entry's time is its column
+``at``, or else midnight of its ``day``. Repeated rows and null ids each
 get their row. Empty tables give an empty result, or captures that are all
 allowed.
 """
@@ -33,31 +37,44 @@ BLOCK, ALLOW, REMOVE = "block", "allow", "remove"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """entries (key, action, day) -> (key, action, valid_from, valid_to), with
+    """entries (key, action, at or day) -> (key, action, valid_from, valid_to), with
     an open end (null) for the last; removals close an interval."""
-    # one row per key and day first: a key's group is bounded by the calendar
     strength = F.when(F.col("action") == BLOCK, 2).when(F.col("action") == ALLOW, 1).otherwise(0)
-    days = (
-        entries.select(field(entries, "key", "string"), field(entries, "action", "string"), field(entries, "day", "date"))
-        .filter(F.col("key").isNotNull() & F.col("day").isNotNull() & F.col("action").isin(BLOCK, ALLOW, REMOVE))
-        .groupBy("key", "day")
+    moment = F.coalesce(field(entries, "at", "timestamp"), field(entries, "day", "timestamp"))
+    moments = (
+        entries.select(field(entries, "key", "string"), field(entries, "action", "string"), moment.alias("at"))
+        .filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("action").isin(BLOCK, ALLOW, REMOVE))
+        .groupBy("key", "at")
         .agg(F.max(strength).alias("strength"))
     )
-    per_key = Window.partitionBy("key").orderBy("day")
+    per_key = Window.partitionBy("key").orderBy("at")
     # an entry that repeats the state before it opens no new interval
-    changes = days.withColumn("was", F.lag("strength").over(per_key)).filter(~F.col("strength").eqNullSafe(F.col("was")))
+    changes = moments.withColumn("was", F.lag("strength").over(per_key)).filter(~F.col("strength").eqNullSafe(F.col("was")))
     return (
-        changes.withColumn("valid_to", F.lead("day").over(per_key))
+        changes.withColumn("valid_to", F.lead("at").over(per_key))
         .filter(F.col("strength") > 0)
         .select(
             "key",
             F.when(F.col("strength") == 2, BLOCK).otherwise(ALLOW).alias("action"),
-            F.col("day").alias("valid_from"),
+            F.col("at").alias("valid_from"),
             "valid_to",
         )
     )
 
 
+def _active(keys: DataFrame, valid: DataFrame) -> DataFrame:
+    """keys (url, at, c_key, rank) with the interval that holds at their moment."""
+    first, last = F.to_date("valid_from"), F.to_date("valid_to")
+    # the days it begins and ends on
+    edges = valid.withColumn("edge", F.explode(F.array_distinct(F.array(first, F.coalesce(last, first)))))
+    same = (F.col("c_key") == F.col("key")) & (F.to_date("at") == F.col("edge"))
+    inside = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    # the days between
+    whole = valid.filter(F.col("valid_to").isNull() | (F.datediff(last, first) > 1))
+    between = (F.col("c_key") == F.col("key")) & (F.to_date("at") > first) & (last.isNull() | (F.to_date("at") < last))
+    return keys.join(edges, same & inside).drop("edge").unionByName(keys.join(whole, between))
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and trailing dot; null if there is none."""
     authority = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
@@ -76,6 +93,9 @@ def url_keys(url: Column, depth: int) -> Column:
     ``depth`` steps; a higher rank is more specific."""
     host, path = host_of(url), path_of(url)
     labels, steps = F.split(host, r"\."), F.split(path, "/+", depth + 1)
+    # an address in numbers is one label: what follows its dots is no parent of it
+    number = host.rlike(r"^[0-9]+(\.[0-9]+){3}$") | host.startswith("[")
+    labels = F.when(number, F.array(host)).otherwise(labels)
     hosts = F.transform(
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.struct(
@@ -105,23 +125,18 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     depth = valid.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0
     keys = (
         rows.dropna(subset=["url", "fetched"])
-        .select("url", F.to_date("fetched").alias("day"))
+        .select("url", F.col("fetched").alias("at"))
         .distinct()
-        .select("url", "day", F.explode(url_keys(F.col("url"), depth)).alias("k"))
-        .select("url", "day", F.col("k.key").alias("c_key"), F.col("k.rank").alias("rank"))
-    )
-    active = keys.join(
-        valid,
-        (F.col("c_key") == F.col("key"))
-        & (F.col("valid_from") <= F.col("day"))
-        & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to"))),
+        .select("url", "at", F.explode(url_keys(F.col("url"), depth)).alias("k"))
+        .select("url", "at", F.col("k.key").alias("c_key"), F.col("k.rank").alias("rank"))
     )
-    best = active.groupBy(F.col("url").alias("b_url"), F.col("day").alias("b_day")).agg(
+    active = _active(keys, valid)
+    best = active.groupBy(F.col("url").alias("b_url"), F.col("at").alias("b_at")).agg(
         F.count(F.lit(1)).alias("n_active"),
         F.max(F.struct("rank", (F.col("action") == BLOCK).alias("block"), "key", "valid_from")).alias("best"),
     )
     return rows.join(
-        best, (F.col("url") == F.col("b_url")) & (F.to_date("fetched") == F.col("b_day")), "left"
+        best, (F.col("url") == F.col("b_url")) & (F.col("fetched") == F.col("b_at")), "left"
     ).select(
         "id",
         "fetched",

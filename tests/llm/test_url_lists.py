@@ -19,7 +19,8 @@ def keys_of(url):
     host = re.sub(r":[0-9]*$", "", re.sub(r"^.*@", "", m[1])).lower().rstrip(".") if m else ""
     if not host:
         return []
-    labels, path = host.split("."), (m[2] or "").strip("/")
+    number = re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host) or host.startswith("[")
+    labels, path = [host] if number else host.split("."), (m[2] or "").strip("/")
     steps = re.split("/+", path) if path else []
     out = [(i, ".".join(labels[-i:])) for i in range(1, len(labels) + 1)]
     return out + [(1000 + i, host + "/" + "/".join(steps[:i])) for i in range(1, len(steps) + 1)]
@@ -63,7 +64,7 @@ ENTRIES = [
 
 
 def rows(got):
-    return Counter((r.id, r.fetched and r.fetched.date(), r.blocked, r.n_active, r.entry_key, r.valid_from) for r in got)
+    return Counter((r.id, r.fetched and r.fetched.date(), r.blocked, r.n_active, r.entry_key, r.valid_from and r.valid_from.date()) for r in got)
 
 
 def test_every_capture_meets_the_entries_of_its_day(spark):
@@ -78,8 +79,9 @@ def test_every_capture_meets_the_entries_of_its_day(spark):
 
 def test_intervals_do_not_overlap(spark):
     got = U.intervals(spark.createDataFrame(ENTRIES, "key string, action string, day date")).collect()
-    assert ("example.com", "block", day(3), day(9)) in {tuple(r) for r in got}
-    assert ("a.example.com/x", "block", day(6), None) in {tuple(r) for r in got}
+    at = lambda n: dt.datetime.combine(day(n), dt.time())
+    assert ("example.com", "block", at(3), at(9)) in {tuple(r) for r in got}
+    assert ("a.example.com/x", "block", at(6), None) in {tuple(r) for r in got}
 
 
 def test_given_pages(spark):
@@ -89,3 +91,31 @@ def test_given_pages(spark):
     e = [tuple(r) for r in entries.collect()]
     got = rows(U.evaluate(captures, entries).collect())
     assert got == slow(c, e) and any(k[3] for k in got)
+
+
+def test_entries_and_captures_within_a_day(spark):
+    """Blocked at 15:00 and off the list at 18:00: only what was fetched between."""
+    noon = dt.datetime(2024, 1, 5, 12)
+    hour = dt.timedelta(hours=1)
+    entries = [
+        ("x.org", "block", noon + 3 * hour), ("x.org", "remove", noon + 6 * hour), ("x.org", "block", noon + 40 * hour),
+        ("x.org", "allow", noon + 200 * hour), ("y.org/a", "block", noon), ("y.org/a", "allow", noon), ("y.org", "allow", noon + 11 * hour),
+    ]
+    captures = [(i, u, noon + n * hour) for n in range(-24, 300, 3) for i, u in enumerate(["http://x.org/p", "http://a.y.org/a/b", "http://y.org/a/b"])]
+    df = spark.createDataFrame(captures, "id long, url string, fetched timestamp")
+    got = Counter((r.id, r.fetched, r.blocked, r.n_active, r.entry_key, r.valid_from) for r in U.evaluate(df, spark.createDataFrame(entries, "key string, action string, at timestamp")).collect())
+    assert got == slow(captures, entries)
+    blocked = {k[1] for k in got if k[0] == 0 and k[2]}
+    assert noon not in blocked and noon + 3 * hour in blocked and noon + 6 * hour not in blocked and noon + 9 * hour not in blocked
+    assert noon + 72 * hour in blocked and noon + 201 * hour not in blocked
+
+
+def test_addresses_in_numbers_have_no_parents(spark):
+    entries = [("0.1", "block", day(1)), ("1", "block", day(1)), ("10.0.0.1", "allow", day(1)), ("[::1]", "block", day(1)), ("10.0.0.2/x", "block", day(1))]
+    urls = ["http://10.0.0.1/x", "http://10.0.0.2/x", "http://10.0.0.3/", "http://[::1]:80/", "http://a.0.1/", "http://1/", "http://[2001:db8::1]/"]
+    captures = [(i, u, day(2)) for i, u in enumerate(urls)]
+    got = U.evaluate(spark.createDataFrame(captures, "id long, url string, fetched date"), spark.createDataFrame(entries, "key string, action string, day date")).collect()
+    assert rows(got) == slow(captures, entries)
+    assert {r.id: (r.blocked, r.entry_key) for r in got if r.entry_key} == {
+        0: (False, "10.0.0.1"), 1: (True, "10.0.0.2/x"), 3: (True, "[::1]"), 4: (True, "0.1"), 5: (True, "1"),
+    }
