@@ -15,6 +15,9 @@ Words repeat, so each worker remembers the counts of words it has seen, up to
 ``_KEPT_WORDS``; the memory changes no result. A text is one row, of any
 length; the work is linear in it.
 
+Control, unknown and byte pieces are no text: where a text spells one ("<s>",
+"<0x41>"), it is read by its characters like any other.
+
 Null and empty texts have no tokens. Repeated rows and null ids each get their
 row; columns other than doc_id and text are not read.
 """
@@ -44,15 +47,27 @@ def ranked_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), -math.log(i + 2.0)) for i in range(model.get_piece_size())]
 
 
+def special_pieces(path: str) -> frozenset[str]:
+    """Pieces of a sentencepiece file that stand for no text of their own."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    tests = (model.is_control, model.is_unknown, model.is_byte, model.is_unused)
+    return frozenset(model.id_to_piece(i) for i in range(model.get_piece_size()) if any(t(i) for t in tests))
+
+
 class Counter:
-    """Counts of words under a vocabulary of (piece, score)."""
+    """Counts of words under a vocabulary of (piece, score); ``special`` pieces
+    match no text."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True):
+    def __init__(
+        self, vocabulary: list[tuple[str, float]], byte_fallback: bool = True, special: frozenset[str] = frozenset()
+    ):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
-            if piece:
+            if piece and piece not in special:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         pieces = {p for p, _ in vocabulary}
@@ -118,7 +133,7 @@ class Counter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(ranked_vocabulary(path))
+    return Counter(ranked_vocabulary(path), special=special_pieces(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:

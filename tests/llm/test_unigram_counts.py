@@ -69,3 +69,17 @@ def test_a_small_memory_changes_nothing(monkeypatch):
     want = own.text("a ab aba b a ab")
     monkeypatch.setattr(C, "_KEPT_WORDS", 1)
     assert C.Counter(MIXED, False).text("a ab aba b a ab") == want
+
+
+def test_special_pieces_as_text():
+    """A text that spells a control, unknown or byte piece is read by its characters."""
+    special = C.special_pieces(PATH)
+    assert {"<s>", "</s>", "<unk>", "<0x41>"} <= special and "a" not in special and C.MARK + "the" not in special
+    vocabulary = C.ranked_vocabulary(PATH)
+    own = C.counter(PATH)
+    # the judge has the same pieces and scores, the special ones under names that no text has
+    whole = tokenizer([(f"\ue000{i}" if p in special else p, s) for i, (p, s) in enumerate(vocabulary)], False)
+    for text in ("<s>", "</s>", "<unk>", "<0x41><0x42>", "a <s> b", "<s>text</s> <0x0A> end", "<<s>>"):
+        n = len(whole.encode(text, add_special_tokens=False).ids)
+        assert own.text(text)[0] == n > text.count("<"), text
+    assert own.text("<s>")[0] >= 3
