@@ -11,7 +11,10 @@
    gradient descent from r = 1, in the metric that weighs a document by its
    tokens: r_d <- clip(r_d - sum_k p_dk e_k) with e_k = l (G_k - T_k) / S_k. The
    step length l = 1 is safe, as the scaled Hessian has no eigenvalue above 1;
-   each step tries all of ``lengths`` in one pass and takes the best.
+   each step tries all of ``lengths`` in one pass and takes the best. Once there are
+   rates inside their bounds, e = c H^-1 (G - T) is tried too, for each c of
+   ``curved``: the gradient in the metric of H = sum of t p p' over those, a K x K matrix
+   that the pass sums up beside G.
 4. A document's rate follows from its posterior and the errors e of the steps
    so far, a table of steps times domains. So nothing but the posteriors is
    stored, each step is one aggregation of K sums, and a lost executor costs
@@ -20,8 +23,15 @@
    drawn from a hash of the document.
 
 Targets: weights over the domains relative to the ``anchor`` domain, which is
-kept whole; a domain that has fewer tokens than its target asks for keeps all
-it has. Labels: toxic -> toxic, else quality 0 -> junk, else clean. A document
+kept whole where it can be; a domain that has fewer tokens than its target asks for keeps
+all it has. Posteriors are soft, so rates up to ``max_rate`` may be unable to reach such
+totals: a document that is clean with 0.9 brings tokens of the other domains along.
+All targets are then scaled by the largest common factor that some rates do reach
+(less ``slack``), which keeps the proportions between the domains. That factor is the least
+value, over multipliers u with u T = 1, of sum_d max_rate t_d max(0, u p_d) (the support of
+all reachable totals); it is convex in u and found by grids of multipliers,
+a pass each. The fit ends where every total is within ``tolerance`` of its target,
+and warns where ``steps`` end it before. Labels: toxic -> toxic, else quality 0 -> junk, else clean. A document
 with several labels takes the worst.
 
 Null and empty texts have no tokens and the posterior that the classifier
@@ -32,7 +42,8 @@ other; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field as default
 
 import numpy as np
@@ -58,9 +69,11 @@ class Mix:
     per_domain: int = 8000
     steps: int = 60
     lengths: tuple[float, ...] = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
-    tolerance: float = 1e-4
-    #: least share of the objective that a step must take off
-    progress: float = 1e-4
+    curved: tuple[float, ...] = (0.5, 1.0)
+    #: largest distance of a total from its target, as a share of the target
+    tolerance: float = 5e-4
+    #: how far below the largest reachable scale the targets are set
+    slack: float = 0.02
 
 
 def words_of(text: Column) -> Column:
@@ -110,9 +123,10 @@ class Classifier:
         for p in parts[1:]:
             sample = sample.union(p)
         # at most per_domain rows a domain, so a broadcast of bounded size
-        rows = docs.select(field(docs, "doc_id", "long"), words_of(field(docs, "text", "string")).alias("_words")).join(
+        taken = docs.select(field(docs, "doc_id", "long"), field(docs, "text", "string")).join(
             F.broadcast(sample), F.col("doc_id") == F.col("l_id")
         )
+        rows = taken.select("weight", "domain", words_of(F.col("text")).alias("_words"))
         fit = write_table(self.tf.transform(rows).select("_tf", "weight", F.col("domain").cast("double").alias("label")), "fit")
         if fit.isEmpty():
             return
@@ -148,52 +162,106 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return p, batch.column("_tokens").to_numpy().astype(np.float64)
 
 
+def _summed(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sums over all rows of ``of(posteriors, tokens)``, ``size`` numbers a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                sums += of(*_columns(batch))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(sums)], names=["k", "g"])
+
+    found = map_arrow(rows.select("_tokens", "_posterior"), run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
+    out = np.zeros(size)
+    for r in found.collect():
+        out[r["k"]] = r["g"]
+    return out
+
+
+def largest_scale(rows: DataFrame, target: np.ndarray, max_rate: float, width: float = 1e-3) -> float:
+    """The largest factor of ``target`` that rates up to ``max_rate`` reach,
+    searched among multipliers to within ``width``; 1 at most."""
+    free = np.flatnonzero(target > 0)  # a domain without a target sets no limit
+    if len(free) < 2:
+        return 1.0
+    axes = np.meshgrid(*[np.linspace(-1, 1, 5)] * (len(free) - 1), indexing="ij")
+    around = np.stack([a.ravel() for a in axes], axis=1)
+    centre, radius, least = np.full(len(free) - 1, 1 / len(free)), 2.0, np.inf
+    for _ in range(60):
+        shares = centre + radius * around  # u_k T_k of all free domains but the last
+        u = np.zeros((len(shares), len(target)))
+        u[:, free] = np.column_stack([shares, 1 - shares.sum(axis=1)]) / target[free]
+        found = _summed(rows, lambda p, t, u=u: t @ np.maximum(p @ u.T, 0.0), len(u)) * max_rate
+        best = int(np.argmin(found))
+        gained, least = least - found[best], min(least, found[best])
+        centre = shares[best]
+        if np.abs(around[best]).max() < 1:  # inside the grid: look closer
+            if gained <= width * least and radius < 0.05:
+                break
+            radius /= 2
+    return float(min(1.0, least))
+
+
 def fit_rates(rows: DataFrame, mix: Mix) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Errors of all steps, and the totals: supply, target, reached.
+    """Errors of all steps, and what came of them: supply, target (scaled), scale, reached,
+    and residual, the share of tokens that a further step of length 1 would move.
 
     ``rows`` (a written table) has ``_tokens`` and ``_posterior``.
     """
     k = len(DOMAINS)
 
-    def totals(errors: np.ndarray, trials: np.ndarray) -> np.ndarray:
-        """G after the steps ``errors`` and each one of ``trials`` as the last."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(trials), k))
-            for batch in batches:
-                if batch.num_rows:
-                    p, t = _columns(batch)
-                    rate = _replayed(p, errors, mix.max_rate)
-                    for i, e in enumerate(trials):
-                        sums[i] += (np.clip(rate - p @ e, 0.0, mix.max_rate) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(sums.size)), pa.array(sums.ravel())], names=["k", "g"])
-
-        found = map_arrow(rows.select("_tokens", "_posterior"), run, "k long, g double").groupBy("k").agg(F.sum("g").alias("g"))
-        out = np.zeros(len(trials) * k)
-        for r in found.collect():
-            out[r["k"]] = r["g"]
-        return out.reshape(len(trials), k)
+    def totals(errors: np.ndarray, trials: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """After the steps ``errors`` and each one of ``trials`` as the last: G, and H of
+        the rates inside their bounds; and the tokens that the first trial moves."""
+        most = np.inf if mix.max_rate is None else mix.max_rate
+
+        def sums(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+            rate, out = _replayed(p, errors, mix.max_rate), []
+            for i, e in enumerate(trials):
+                after = np.clip(rate - p @ e, 0.0, mix.max_rate)
+                inside = p[(after > 0) & (after < most)]
+                weighed = inside * t[(after > 0) & (after < most), None]
+                out += [(after * t) @ p, (weighed.T @ inside).ravel()]
+                moves = np.abs(after - rate) @ t if i == 0 else moves
+            return np.concatenate([*out, [moves]])
+
+        found = _summed(rows, sums, len(trials) * (k + k * k) + 1)
+        each = found[:-1].reshape(len(trials), k + k * k)
+        return each[:, :k], each[:, k:].reshape(-1, k, k), found[-1]
 
     errors = np.zeros((0, k))
-    supply = reached = totals(errors, np.zeros((1, k)))[0]
+    tried, bent, _ = totals(errors, np.zeros((1, k)))
+    supply, reached, curve = tried[0], tried[0], bent[0]
     weight = np.array([mix.weights.get(d, 0.0) for d in DOMAINS])
     anchor = DOMAINS.index(mix.anchor)
     target = np.minimum(supply, supply[anchor] * weight / weight[anchor])
+    most = 1.0 if mix.max_rate is None else largest_scale(rows, target, mix.max_rate)
+    factor = most if most >= 1 else most * (1 - mix.slack)
+    target = target * factor
     scale = np.maximum(supply, 1e-9)
+    near = mix.tolerance * np.where(target > 0, target, max(1.0, target.sum()))
 
     def loss(reached: np.ndarray) -> np.ndarray:
         return ((reached - target) ** 2 / scale).sum(axis=-1)
 
+    moved = 0.0
     for _ in range(mix.steps):
-        if np.abs(reached - target).max() <= mix.tolerance * max(1.0, target.sum()):
+        if (np.abs(reached - target) <= near).all():
             break
         trials = np.outer(mix.lengths, (reached - target) / scale)
-        tried = totals(errors, trials)
+        if mix.curved and np.linalg.matrix_rank(curve, hermitian=True) == k:
+            trials = np.vstack([trials, np.outer(mix.curved, np.linalg.solve(curve, reached - target))])
+        tried, bent, moved = totals(errors, trials)
         best = int(np.argmin(loss(tried)))
-        if loss(tried[best]) > loss(reached) * (1 - mix.progress):
-            break  # as near as rates in their bounds come
-        errors, reached = np.vstack([errors, trials[best]]), tried[best]
-    return errors, {"supply": supply, "target": target, "reached": reached}
+        if loss(tried[best]) >= loss(reached):
+            break  # no step in its length's range gains: the nearest that rates come
+        errors, reached, curve = np.vstack([errors, trials[best]]), tried[best], bent[best]
+    residual = moved / max(1.0, supply.sum())
+    if (np.abs(reached - target) > near).any():
+        apart = ", ".join(f"{d} {g / max(t, 1e-9):.4f}" for d, g, t in zip(DOMAINS, reached, target))
+        warnings.warn(f"mixing ended {len(errors)} steps from its targets: {apart} of them; residual {residual:.2e}", stacklevel=2)
+    return errors, {"supply": supply, "target": target, "scale": factor, "reached": reached, "residual": residual}
 
 
 def rated(rows: DataFrame, errors: np.ndarray, max_rate: float | None) -> DataFrame:

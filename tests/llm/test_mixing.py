@@ -47,10 +47,10 @@ def test_rates_are_the_projected_gradient_solution(table, spark):
     rnd = np.random.default_rng(1)
     p, t = rnd.dirichlet([0.4, 0.2, 0.2], 200), rnd.integers(1, 500, 200)
     rows = table([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens long, _posterior array<double>")
-    mix = M.Mix(weights={"clean": 0.9, "junk": 0.01, "toxic": 0.005}, tolerance=1e-12, steps=25, lengths=(1.0,))
+    mix = M.Mix(weights={"clean": 0.9, "junk": 0.01, "toxic": 0.005}, tolerance=1e-12, steps=25, lengths=(1.0,), curved=())
     errors, totals = M.fit_rates(rows, mix)
     supply = t @ p
-    target = np.minimum(supply, supply[0] * np.array([0.9, 0.01, 0.005]) / 0.9)
+    target = np.minimum(supply, supply[0] * np.array([0.9, 0.01, 0.005]) / 0.9) * totals["scale"]
     r = np.ones(200)
     start = (((t * r) @ p - target) ** 2 / supply).sum()
     for _ in range(len(errors)):
@@ -98,3 +98,60 @@ def test_counts_words(spark):
     texts = [None, "", "  ", "a", " a  b\n\tc "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(M.token_count(F.col("t"))).collect()] == [0, 0, 0, 1, 3]
+
+
+def reachable(p, t, target, max_rate=1.0):
+    """Largest factor by bisection over a plain least-squares fit of bounded rates."""
+    low, high = 0.0, 1.0
+    while high - low > 2e-3:
+        mid, r = (low + high) / 2, np.full(len(t), 0.5)
+        a = (p * t[:, None]).T / (t @ p)[:, None] ** 0.5
+        goal = mid * target / (t @ p) ** 0.5
+        step = 1 / np.linalg.norm(a, 2) ** 2
+        z, k = r, 1.0
+        for _ in range(20_000):  # accelerated projected gradient
+            new = np.clip(z - step * (a.T @ (a @ z - goal)), 0, max_rate)
+            k2 = (1 + (1 + 4 * k * k) ** 0.5) / 2
+            z, r, k = new + (k - 1) / k2 * (new - r), new, k2
+        ok = np.abs((t * r) @ p - mid * target).max() < 1e-4 * target.sum()
+        low, high = (mid, high) if ok else (low, mid)
+    return low
+
+
+def test_targets_are_scaled_to_what_rates_reach(table):
+    """Soft posteriors cannot give 96% clean: the largest scale they can give is
+    found, and then every total is met."""
+    rnd = np.random.default_rng(4)
+    p = np.vstack([rnd.dirichlet([8, 1, 0.5], 250), rnd.dirichlet([1, 4, 1], 40), rnd.dirichlet([1, 1, 4], 40)])
+    t = rnd.integers(1, 500, len(p))
+    rows = table([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens long, _posterior array<double>")
+    mix = M.Mix(weights={"clean": 0.85, "junk": 0.1, "toxic": 0.05}, steps=200)
+    target = np.minimum(t @ p, (t @ p)[0] * np.array([0.85, 0.1, 0.05]) / 0.85)
+    most = M.largest_scale(rows, target, 1.0)
+    assert abs(most - reachable(p, t, target)) < 0.01 and most < 1
+    errors, found = M.fit_rates(rows, mix)
+    assert abs(found["scale"] - most * 0.98) < 1e-6 and np.allclose(found["target"], target * found["scale"])
+    assert np.abs(found["reached"] / found["target"] - 1).max() < 1e-3
+    assert M.largest_scale(rows, t @ p, 1.0) > 0.999 and M.largest_scale(rows, 0.5 * (t @ p), 1.0) == 1.0
+
+
+def test_a_fit_that_ends_early_warns(table):
+    import pytest
+
+    rnd = np.random.default_rng(5)
+    p, t = rnd.dirichlet([1, 1, 1], 50), rnd.integers(1, 500, 50)
+    rows = table([(int(n), [float(x) for x in q]) for n, q in zip(t, p)], "_tokens long, _posterior array<double>")
+    with pytest.warns(UserWarning, match="steps from its targets"):
+        M.fit_rates(rows, M.Mix(weights={"clean": 0.9, "junk": 0.02, "toxic": 0.02}, steps=1))
+
+
+def test_production_targets_at_sf01(spark):
+    """The given documents, with the parameters of the query: totals within 0.1%."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    mix = M.Mix()
+    rows = M._prepared(docs, labels, mix, [])
+    _, found = M.fit_rates(rows, mix)
+    assert np.abs(found["reached"] / found["target"] - 1).max() < 1e-3 and found["scale"] > 0.85
+    shares = found["reached"] / found["reached"].sum()
+    assert np.allclose(shares, np.array([0.96, 0.02, 0.02]), atol=1e-3)
