@@ -29,7 +29,9 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,13 +39,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftwise.llm.common import id_and_text, map_arrow, write_table
+from shiftwise.llm.common import id_and_text, map_arrow, sliced, write_table
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _KEPT_WORDS = 400_000
 
 
+def _packed(kind: str, ids: list[int]) -> array:
+    """``ids`` as little-endian numbers."""
+    out = array(kind, ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out
+
+
 class _Words(dict):
     """word -> its ids as bytes; forgets all when full (results do not change)."""
 
@@ -54,7 +64,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _KEPT_WORDS:
             self.clear()
-        ids = np.array(self.encode(word), dtype="<u2").tobytes()
+        ids = _packed("H", self.encode(word)).tobytes()
         self[word] = ids
         return ids
 
@@ -75,7 +85,9 @@ class Encoder:
         table = {b: 256 + n for n, b in enumerate(rest)}
 
         def merged(word: str) -> list[int]:
-            return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(table))]
+            # bytes of plain words stand for themselves
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+            return [t.id for t in model.tokenize(shown)]
 
         self.plain = _Words(merged)
         self.other = _Words(lambda word: whole.encode(word, add_special_tokens=False).ids)
@@ -150,11 +162,15 @@ def document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, tokens = np.zeros(size, dtype=np.int64), 0, 0
-        for batch in batches:
-            for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py(), dtype="<u2")
-                counts[np.unique(ids)] += 1
-                docs, tokens = docs + 1, tokens + len(ids)
+        for batch in sliced(batches, 1000):
+            rows = [np.frombuffer(x.as_buffer(), dtype="<u2") for x in batch.column("ids")]
+            sizes = [len(x) for x in rows]
+            # a sorted number of row and id: each id of a document counts once
+            keys = np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(16), sizes) | np.concatenate(rows)
+            keys.sort()
+            once = keys[np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))]
+            counts += np.bincount((once & np.uint64(0xFFFF)).astype(np.int64), minlength=size)
+            docs, tokens = docs + len(rows), tokens + len(keys)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, [-1, -2])), pa.array(np.append(counts[used], [docs, tokens]))], names=["id", "n"]
@@ -169,27 +185,50 @@ def document_counts(rows: DataFrame, size: int) -> tuple[np.ndarray, int, int]:
 
 
 class _Index:
-    """BM25 inverted index of a shard's documents."""
+    """BM25 inverted index of a shard's documents.
+
+    Terms that over a quarter of the documents have are kept as rows of weights as well
+    (at most 4 times the postings): a seed has many of them, and adding up rows is
+    cheaper than their postings. All other terms of a seed are added up from
+    their postings in one pass. Every term counts, with the same scores.
+    """
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        per = [np.unique(t, return_counts=True) for t in texts]
-        long = 1 - b + b * np.array([len(t) for t in texts], dtype=np.float64) / max(mean, 1.0)
-        term = np.concatenate([u for u, _ in per])
-        order = np.argsort(term, kind="stable")  # by term, then by document
-        term = term[order]
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        long = 1 - b + b * sizes / max(mean, 1.0)
+        # by term, then by document: one sort of both in one number
+        keys = np.concatenate(texts).astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        tf = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        term = (keys >> np.uint64(32)).astype(np.int64)
         self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(u) for u, _ in per])[order]
-        tf = np.concatenate([c.astype(np.int32) for _, c in per])[order]
+        self.doc = (keys & np.uint64(0xFFFFFFFF)).astype(np.int32)
         self.weight = idf[term] * tf * (k1 + 1) / (tf + k1 * long[self.doc])
-        self.terms = [u[np.argsort(-idf[u], kind="stable")] for u, _ in per]
-        self.n = len(texts)
+        self.texts, self.idf, self.n = texts, idf, len(texts)
+        heavy = np.flatnonzero(np.diff(self.start) > max(64, self.n // 4))
+        self.row = np.full(len(idf), -1)
+        self.row[heavy] = np.arange(len(heavy))
+        self.rows = np.zeros((len(heavy), self.n))
+        for row, t in zip(self.rows, heavy):
+            a, z = self.start[t], self.start[t + 1]
+            row[self.doc[a:z]] = self.weight[a:z]
 
     def neighbours(self, seed: int, query_terms: int | None = None) -> np.ndarray:
         """Documents that share weighted terms with the seed, best first."""
-        score = np.zeros(self.n)
-        for t in self.terms[seed][:query_terms]:
-            a, z = self.start[t], self.start[t + 1]
-            score[self.doc[a:z]] += self.weight[a:z]
+        terms = np.unique(self.texts[seed]).astype(np.int64)
+        if query_terms is not None:
+            terms = terms[np.argsort(-self.idf[terms], kind="stable")][:query_terms]
+        rows = self.row[terms]
+        light = terms[rows < 0]
+        start = self.start[light]
+        n = self.start[light + 1] - start
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        dense = np.zeros(len(self.rows))
+        dense[rows[rows >= 0]] = 1.0
+        score = score + dense @ self.rows
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -272,6 +311,7 @@ def pack(
     size = encoder(vocabulary).whole.get_vocab_size()
     df, n_docs, n_tokens = document_counts(rows, size)
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
+    idf[end_id] = 0.0  # every document has it: it makes none a neighbour
     mean = n_tokens / max(1, n_docs)
     tasks = min(max_tasks, max(1, math.ceil(n_tokens / shard_tokens)))
 
