@@ -4,9 +4,15 @@ The automaton holds every substring of every template. Each file is streamed
 through it token by token, which gives the matching statistics: the longest
 substring of any template that ends at each token. A base phrase stands where
 the matched substring ends with it. Matches that cannot be extended and have
-at least ``min_match`` words are chained per template, in order and with small
-gaps, into covered spans; a template whose covered share reaches
-``min_cover`` gives its label.
+at least ``min_match`` words are chained per template by dynamic programming
+into covered spans: a match continues the best chain that ends at most
+``max_gap`` words before it and has covered only earlier parts of the template, or,
+for parts in another order, only later ones. A chain pays ``_GAP`` words for each foreign
+word between its matches and for each word of the template that it leaves
+out, and ``_TURN`` words for a turn back. Every chain that holds ``min_cover`` of its
+template after these charges is a span and gives its label: copies of a notice
+are spans of their own. Of spans with different labels over the same words, the
+one that holds the larger share of its template stays.
 
 A word that is in no template resets the automaton, so only runs of known
 words are streamed. The automaton depends on the templates alone and is built
@@ -96,6 +102,23 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under CC BY-SA 4.0"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by", "licensed under CC BY 4.0"),
+    (
+        "lgpl-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "agpl-3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ),
 )
 
 
@@ -188,32 +211,82 @@ def _built(templates: tuple, phrases: tuple) -> tuple[Automaton, tuple[int, ...]
     return Automaton(texts, base), tuple(map(len, texts)), min(map(len, base), default=1)
 
 
-def _chains(matches: list[tuple[int, int, int]], auto: Automaton, max_gap: int) -> dict[int, tuple[int, int, int]]:
-    """Best chain per template: (covered words, first word, end) from maximal
-    matches (end in the text, length, state), in the order of the text."""
-    open_, best = {}, {}
+_GAP, _TURN = 0.25, 5.0
+
+
+def _chains(
+    matches: list[tuple[int, int, int]], auto: Automaton, sizes: tuple[int, ...], max_gap: int, min_cover: float
+) -> list[tuple[int, int, int, int]]:
+    """Chains that hold ``min_cover`` of their template after charges, (template,
+    covered words, first word, last word), from maximal matches (end in the
+    text, length, state) in the order of the text."""
+    per: dict[int, list[tuple[int, int, int]]] = {}
     for end, size, state in matches:
         for template, at in auto.ends[state]:
-            chain, n, t_start = open_.get(template), size, at - size + 1
-            if chain is not None:
-                over = max(0, chain[2] - (end - size))  # words that the chain has already
-                gap, t_gap = end - size + over - chain[2], t_start + over - chain[3] - 1
-                fits = over < size and t_gap >= 0 and max(gap, t_gap) <= max_gap
-                if not fits and end == chain[2]:
-                    continue  # another place of the match just chained
-                if fits:
-                    n = size - over
-            else:
-                fits = False
-            covered, first = (chain[0] + n, chain[1]) if fits else (n, end - size + 1)
-            open_[template] = (covered, first, end, at)
-            if template not in best or covered > best[template][0]:
-                best[template] = (covered, first, end)
-    return best
+            per.setdefault(template, []).append((end, size, at))
+    out = []
+    for template, own in sorted(per.items()):
+        # a chain by its last match: score, covered words, template words from and to, match before
+        chains: list[tuple[float, int, int, int, int]] = []
+        first = 0
+        for j, (end, size, at) in enumerate(own):
+            begin, low = end - size + 1, at - size + 1
+            best = (float(size), size, low, at, -1)
+            while first < j and own[first][0] < begin - 1 - max_gap:
+                first += 1
+            for i in range(first, j):
+                before, (score, covered, low_i, at_i, _) = own[i][0], chains[i]
+                over = max(0, before - begin + 1)  # words that the chain has already
+                if over and before == end:
+                    continue  # another place of the same words
+                charge = _GAP * max(0, begin - before - 1)
+                if at > at_i:  # further on in the template
+                    over = max(over, at_i - low + 1)
+                    found = (score + size - over - charge - _GAP * max(0, low - at_i - 1), covered + size - over, low_i, at, i)
+                elif low < low_i:  # parts in another order
+                    over = max(over, at - low_i + 1)
+                    found = (score + size - over - charge - _TURN, covered + size - over, low, at_i, i)
+                else:
+                    continue
+                if over < size and found[0] > best[0]:
+                    best = found
+            chains.append(best)
+        used: set[int] = set()
+        least = min_cover * sizes[template]
+        for j in sorted(range(len(chains)), key=lambda j: (-chains[j][0], j)):
+            if chains[j][0] < least:
+                break
+            path, i = [], j
+            while i >= 0:
+                path.append(i)
+                i = chains[i][4]
+            if used.isdisjoint(path):
+                used.update(path)
+                out.append((template, chains[j][1], own[path[-1]][0] - own[path[-1]][1] + 1, own[j][0]))
+    return sorted(out)
+
+
+def _strongest(spans: list[dict]) -> list[dict]:
+    """Spans without those that mostly share their words with a span of another
+    label that holds more of its template: notices of a family read alike."""
+    order = sorted(range(len(spans)), key=lambda i: spans[i]["first"])
+    weak: set[int] = set()
+    active: list[int] = []
+    for i in order:
+        a = spans[i]
+        active = [j for j in active if spans[j]["last"] >= a["first"]]
+        for j in active:
+            b = spans[j]
+            shared = min(a["last"], b["last"]) - a["first"] + 1
+            if a["label"] != b["label"] and 2 * shared > min(a["last"] - a["first"], b["last"] - b["first"]) + 1:
+                if a["share"] != b["share"]:
+                    weak.add(i if a["share"] < b["share"] else j)
+        active.append(i)
+    return [s for i, s in enumerate(spans) if i not in weak]
 
 
 def scan(
-    text: str | None, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, min_match: int = 4, max_gap: int = 6,
+    text: str | None, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, min_match: int = 4, max_gap: int = 40,
     min_cover: float = 0.6,
 ) -> dict:
     """The licences of one text: n_words, base places (start, phrase), and
@@ -242,12 +315,11 @@ def scan(
             if before[1] >= min_match:
                 matches.append((end - 1, before[1], before[0]))
         at = end
-    spans = []
-    for template, (covered, first, last) in sorted(_chains(matches, auto, max_gap).items()):
-        share = min(1.0, covered / sizes[template])
-        if share >= min_cover:
-            spans.append({"label": templates[template][0], "share": share, "first": first, "last": last})
-    return {"n_words": n, "places": places, "spans": spans}
+    spans = [
+        {"label": templates[template][0], "share": min(1.0, covered / sizes[template]), "first": first, "last": last}
+        for template, covered, first, last in _chains(matches, auto, sizes, max_gap, min_cover)
+    ]
+    return {"n_words": n, "places": places, "spans": _strongest(spans)}
 
 
 _SCHEMA = (
@@ -257,7 +329,7 @@ _SCHEMA = (
 
 
 def scan_documents(
-    docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, min_match: int = 4, max_gap: int = 6,
+    docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES, min_match: int = 4, max_gap: int = 40,
     min_cover: float = 0.6,
 ) -> DataFrame:
     """A row per document: word and base counts, labels, score (the largest

@@ -76,3 +76,71 @@ def test_covered_spans():
 def test_many_repeats_stay_linear():
     found = L.scan("Released under the MIT License. " * 20_000)
     assert len(found["places"]) == 20_000 and found["spans"]
+
+
+def spans(text):
+    return [(s["label"], round(s["share"], 2), s["first"], s["last"]) for s in L.scan(text)["spans"]]
+
+
+def test_copies_cuts_and_other_orders():
+    words = slow_words(L.TEMPLATES[0][1])
+    n, whole, foreign = len(words), " ".join(words), " ".join(f"x{i}" for i in range(18))
+    # two copies are two spans
+    assert spans(f"{whole} {foreign} {whole}") == [("mit", 1.0, 0, n - 1), ("mit", 1.0, n + 18, 2 * n + 17)]
+    assert spans(f"{whole} {whole}") == [("mit", 1.0, 0, n - 1), ("mit", 1.0, n, 2 * n - 1)]
+    # cut in the middle by foreign words: one span, gaps charged
+    half = n // 2
+    cut = [*words[:half], *foreign.split(), *words[half:]]
+    assert spans(" ".join(cut)) == [("mit", 1.0, 0, n + 17)]
+    # swapped halves
+    assert spans(" ".join([*words[half:], *words[:half]])) == [("mit", 1.0, 0, n - 1)]
+    # too far apart, too little left, or too much in between
+    far = " ".join(f"y{i}" for i in range(41))
+    assert spans(f"{' '.join(words[:half])} {far} {' '.join(words[half:])}") == []
+    assert spans(" ".join(words[: half - 3])) == []
+    holes = [w for i, w in enumerate(words) if i % 9 < 5 or i > 80]  # five words, then four that are not there
+    assert spans(" ".join(holes)) == []
+
+
+def test_chains_are_the_best_of_all():
+    """Scores of the best chain against all orders of matches of a small template."""
+    rnd = random.Random(8)
+    template = [f"w{i}" for i in range(24)]
+    for _ in range(60):
+        parts = [template[a : a + rnd.randint(4, 9)] for a in sorted(rnd.sample(range(18), rnd.randint(1, 4)))]
+        text = []
+        for p in parts:
+            text += [*p, *[f"x{rnd.random()}"] * rnd.randint(1, 6)]
+        auto, sizes, _ = L._built((("t", " ".join(template)),), L.PHRASES)
+        ids, matches, at = [auto.ids.get(w) for w in text], [], 0
+        for p in parts:  # each part is a maximal match by itself, with foreign words around
+            found = list(auto.statistics([i for i in ids[at : at + len(p)]]))
+            matches.append((at + len(p) - 1, len(p), found[-1][0]))
+            at += len(p)
+            while at < len(text) and ids[at] is None:
+                at += 1
+
+        def best(j, low):
+            end, size, _ = matches[j]
+            begin, start = end - size + 1, template.index(text[end - size + 1])
+            score = size
+            for i in range(j):
+                e, z, _ = matches[i]
+                last = template.index(text[e])
+                if start + size - 1 > last:
+                    over = max(0, last - start + 1)
+                    if over < size:
+                        score = max(score, best(i, low) + size - over - 0.25 * (begin - e - 1) - 0.25 * max(0, start - last - 1))
+            return score
+
+        want = max(best(j, 0) for j in range(len(matches)))
+        chains = L._chains(matches, auto, sizes, 40, 0.0)
+        covers = L._chains(matches, auto, sizes, 40, (want - 1e-9) / 24)
+        assert chains and covers and not L._chains(matches, auto, sizes, 40, (want + 1e-6) / 24)
+
+
+def test_every_template_has_its_own_label():
+    """Notices of a family read alike; each text gives the label it is."""
+    for label, text in L.TEMPLATES:
+        assert {s["label"] for s in L.scan(f"a file, {text} And so on.")["spans"]} == {label}, text
+    assert {s["label"] for s in L.scan("licensed under CC BY-NC 4.0, and later licensed under CC BY 4.0")["spans"]} == {"cc-by-nc", "cc-by"}
