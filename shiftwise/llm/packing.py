@@ -117,6 +117,13 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
+def forget_encoders() -> None:
+    """Frees this process's encoders. A task calls this by name: a closure that
+    names ``_encoders`` itself would carry the driver's tokenizer to every task."""
+    _encoders.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _rank(size: int) -> np.ndarray:
     """A fixed pseudo-random order of the vocabulary that favours high ids,
     which byte-pair merges give to rarer pieces."""
@@ -319,7 +326,7 @@ def pack(
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        _encoders.clear()  # a reused worker needs its memory for the index
+        forget_encoders()  # a reused worker needs its memory for the index
 
         def packed(held: list) -> pa.RecordBatch:
             texts = [np.frombuffer(x, dtype="<u2") for _, x in held]
