@@ -14,10 +14,10 @@ at the end of a shard goes into sequences whose lengths are powers of two, so
 nothing is padded.
 
 Tokenising: the vocabulary file normalises (NFC, lower case, white space) and
-splits into words before its merges. For texts of ASCII and Latin-1 letters the
-same split is made here and each distinct word is merged once per worker
-(``_Words``, a bounded memory); other texts go word by word through the whole
-tokenizer, which never looks across a blank. Tests compare both with it.
+splits into words before its merges, and never looks across a blank. Batches of
+texts are cut at blanks, and the distinct words that a worker does not know yet
+(a bounded memory) are merged in one call: words of ASCII and Latin-1 letters
+after the same split, others by the whole tokenizer. Tests compare both with it.
 
 A null text counts as empty (its only id is the end id). Repeated rows and
 null ids are documents like any other. An empty table gives an empty result.
@@ -27,15 +27,15 @@ needs.
 
 from __future__ import annotations
 
+import json
 import math
 import re
-import sys
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,30 +43,25 @@ from shiftwise.llm.common import id_and_text, map_arrow, sliced, write_table
 
 _PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-_KEPT_WORDS = 400_000
+_PARTS = re.compile(f"{_SPLIT.pattern}|\n")
+_KEPT_WORDS = 700_000
+_AT_ONCE = 1 << 23
+_MERGED_AT_ONCE = 20_000
 
 
-def _packed(kind: str, ids: list[int]) -> array:
-    """``ids`` as little-endian numbers."""
-    out = array(kind, ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out
+def _lines(words: pa.Array) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar("\n", pa.large_string()))[0].as_py()
 
 
-class _Words(dict):
-    """word -> its ids as bytes; forgets all when full (results do not change)."""
-
-    def __init__(self, encode: Callable[[str], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= _KEPT_WORDS:
-            self.clear()
-        ids = _packed("H", self.encode(word)).tobytes()
-        self[word] = ids
-        return ids
+def _dealt(held: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the words ``at`` one after another, and the bounds of each."""
+    start = bounds[at]
+    n = bounds[at + 1] - start
+    upto = np.append(0, np.cumsum(n))
+    kind = np.int32 if max(len(held), upto[-1]) < 1 << 31 else np.int64
+    place = np.repeat((start - upto[:-1]).astype(kind), n)
+    place += np.arange(upto[-1], dtype=kind)
+    return held[place], upto
 
 
 class Encoder:
@@ -74,38 +69,109 @@ class Encoder:
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-        self.whole = whole = Tokenizer.from_file(vocabulary)
+        self.whole = Tokenizer.from_file(vocabulary)
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        model = self.whole.model
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        rest = (b for b in range(256) if b not in letters)
-        table = {b: 256 + n for n, b in enumerate(rest)}
-
-        def merged(word: str) -> list[int]:
-            # bytes of plain words stand for themselves
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(table)
-            return [t.id for t in model.tokenize(shown)]
-
-        self.plain = _Words(merged)
-        self.other = _Words(lambda word: whole.encode(word, add_special_tokens=False).ids)
+        self.shown = np.arange(256, dtype="<u4")  # the character for each byte; line feeds stand between words
+        rest = [b for b in range(256) if b not in letters]
+        self.shown[rest] = [b if b == 10 else 256 + n for n, b in enumerate(rest)]
+        with open(vocabulary, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        if model["type"] != "BPE" or model["continuing_subword_prefix"] or model["dropout"] or model["fuse_unk"] or model["byte_fallback"] or model["ignore_merges"]:
+            raise ValueError("not a plain byte-pair vocabulary")
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        suffix = model["end_of_word_suffix"]
+        # takes words that are split already, each once: no memory of its own
+        self.merges = Tokenizer(BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, end_of_word_suffix=suffix))
+        self.merges.pre_tokenizer = CharDelimiterSplit("\n")
+        self.last = np.zeros(self.whole.get_vocab_size(), dtype=bool)  # ids that end a word
+        self.last[[i for piece, i in self.whole.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the known words (results do not change)."""
+        self.known = pa.array([], pa.large_string())
+        self.bounds = np.zeros(1, dtype=np.int64)  # of each known word's ids in ``held``
+        self.held = np.zeros(0, dtype="<u2")
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Merges ``words`` (without blanks) and adds them to the known ones; their places there."""
+        plain = pc.match_substring_regex(words, f"^{_PLAIN.pattern}$")
+        letters = pc.match_substring_regex(words, "^[a-zß-öø-ÿ]+$")  # one word each
+        mixed = pc.and_not(plain, letters)
+        n_mixed, n_letters = pc.sum(mixed).as_py() or 0, pc.sum(letters).as_py() or 0
+        parts = _PARTS.findall(_lines(words.filter(mixed)).lower()) + ["\n"] * (n_mixed > 0)
+        breaks = np.flatnonzero([x == "\n" for x in parts])
+        upto = np.append(0, breaks - np.arange(len(breaks)))  # parts before each of mixed
+        number: dict[str, int] = {}  # equal parts are merged once
+        part = np.array([number.setdefault(x, len(number)) for x in parts if x != "\n"], dtype=np.int64)
+        shown = "\n".join([*number, _lines(words.filter(letters))])
+        if not shown.isascii():  # bytes of plain words stand for themselves
+            shown = self.shown[np.frombuffer(shown.encode(), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        merged = np.array(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype="<u2")
+        ends = np.append(0, np.flatnonzero(self.last[merged]) + 1)
+        if len(ends) != len(number) + n_letters + 1:
+            raise ValueError("the vocabulary does not mark the ends of words")
+        dealt, of_part = _dealt(merged, ends, part)
+        of_letters = ends[len(number) :]
+        other = [self.whole.encode(w, add_special_tokens=False).ids for w in words.filter(pc.invert(plain)).to_pylist()]
+        sizes = np.concatenate([np.diff(of_part[upto]), np.diff(of_letters), [len(x) for x in other]]).astype(np.int64)
+        order = np.concatenate([np.flatnonzero(x.to_numpy(zero_copy_only=False)) for x in (mixed, letters, pc.invert(plain))])
+        places = np.empty(len(words), dtype=np.int64)
+        places[order] = len(self.known) + np.arange(len(words))
+        self.known = pa.concat_arrays([self.known, words.take(pa.array(order))])
+        self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
+        self.held = np.concatenate([self.held, dealt, merged[of_letters[0] :], *(np.array(x, dtype="<u2") for x in other)])
+        return places
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where distinct ``words`` stand among the known ones."""
+        at = pc.index_in(words, value_set=self.known)
+        if len(self.known) + at.null_count > _KEPT_WORDS:
+            self.forget()
+            at = pa.nulls(len(words), pa.int32())
+        places = at.fill_null(-1).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            slices = [new.slice(i, _MERGED_AT_ONCE) for i in range(0, len(new), _MERGED_AT_ONCE)]
+            places[places < 0] = np.concatenate([self._learn(x) for x in slices])
+        return places
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special pieces, all at once: the distinct words are
+        looked up, and their ids dealt to the places where they stand."""
+        lower = [t.lower() if _PLAIN.fullmatch(t) else t for t in texts]
+        words = pc.ascii_split_whitespace(pa.array(lower, pa.large_string()))
+        coded = words.flatten().dictionary_encode()
+        at = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        ids, upto = _dealt(self.held, self.bounds, at)
+        ids = ids.tobytes()
+        ends = (2 * upto[words.offsets.to_numpy()]).tolist()
+        return [ids[a:z] for a, z in zip(ends, ends[1:])]
+
+    def all_ids(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text, little-endian numbers of 16 bits; about ``_AT_ONCE`` characters are held as words."""
+        held, size = [], 0
+        for text in [t or "" for t in texts]:
+            if any(s in text for s in self.specials):
+                yield from self._split(held)
+                held, size = [], 0
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+                continue
+            held.append(text)
+            size += len(text)
+            if size >= _AT_ONCE:
+                yield from self._split(held)
+                held, size = [], 0
+        yield from self._split(held)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.specials):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.plain.__getitem__, _SPLIT.findall(text.lower())))
-        out = []
-        for word in text.split(" "):
-            if _PLAIN.fullmatch(word):
-                out.extend(map(self.plain.__getitem__, _SPLIT.findall(word.lower())))
-            else:
-                out.append(self.other[word])
-        return b"".join(out)
+        return next(self.all_ids([text]))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -133,6 +199,19 @@ def _rank(size: int) -> np.ndarray:
     return x.astype(np.float64) / ids.astype(np.float64) ** 2
 
 
+def _joined(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, put together up to about ``size`` bytes: fewer distinct words are looked up."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.nbytes
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     """(doc_id, ids, sign, tie): 16-bit ids with the end id, the two ids of the
     document that come first in a fixed order, and a checksum of the ids."""
@@ -141,8 +220,8 @@ def tokenised(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         own = encoder(vocabulary)
         end = np.array([end_id], dtype="<u2").tobytes()
         rank = _rank(own.whole.get_vocab_size())
-        for batch in batches:
-            ids = [own.ids(t.as_py()) + end for t in batch.column("text")]
+        for batch in _joined(batches, _AT_ONCE // 2):
+            ids = [x + end for x in own.all_ids(batch.column("text").to_pylist())]
             signs = []
             for x in ids:
                 terms = np.frombuffer(x, dtype="<u2")
@@ -197,7 +276,8 @@ class _Index:
     Terms that over a quarter of the documents have are kept as rows of weights as well
     (at most 4 times the postings): a seed has many of them, and adding up rows is
     cheaper than their postings. All other terms of a seed are added up from
-    their postings in one pass. Every term counts, with the same scores.
+    their postings in one pass. Every term counts, with the same scores. Postings of
+    documents that have gone into a sequence are left out once they are half of all.
     """
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
@@ -221,10 +301,18 @@ class _Index:
         for row, t in zip(self.rows, heavy):
             a, z = self.start[t], self.start[t + 1]
             row[self.doc[a:z]] = self.weight[a:z]
-
-    def neighbours(self, seed: int, query_terms: int | None = None) -> np.ndarray:
-        """Documents that share weighted terms with the seed, best first."""
-        terms = np.unique(self.texts[seed]).astype(np.int64)
+        self.mark = np.zeros(len(idf), dtype=bool)
+        self.held = self.n
+
+    def neighbours(self, seed: int, query_terms: int | None = None, used: np.ndarray | None = None) -> np.ndarray:
+        """Documents that share weighted terms with the seed, best first, without those ``used`` (which stay so)."""
+        if used is not None and 2 * (left := self.n - int(used.sum())) < self.held:
+            keep = ~used[self.doc]
+            self.start = np.append(0, np.cumsum(keep))[self.start]
+            self.doc, self.weight, self.held = self.doc[keep], self.weight[keep], left
+        self.mark[self.texts[seed]] = True
+        terms = np.flatnonzero(self.mark)
+        self.mark[terms] = False
         if query_terms is not None:
             terms = terms[np.argsort(-self.idf[terms], kind="stable")][:query_terms]
         rows = self.row[terms]
@@ -236,7 +324,7 @@ class _Index:
         dense = np.zeros(len(self.rows))
         dense[rows[rows >= 0]] = 1.0
         score = score + dense @ self.rows
-        found = np.flatnonzero(score > 0)
+        found = np.flatnonzero(score > 0 if used is None else (score > 0) & ~used)
         return found[np.argsort(-score[found], kind="stable")]
 
 
@@ -271,7 +359,7 @@ def fill(
             if filled == window:
                 break
             if queue is None:
-                queue = iter(index.neighbours(seed, query_terms))
+                queue = iter(index.neighbours(seed, query_terms, used))
             doc = next((int(d) for d in queue if not used[d]), -1)
             if doc < 0:  # no neighbour left: the next unused document goes on
                 while first < len(texts) and used[first]:
